@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import chat, decontam, packing, pii, secrets
+from kgspark.llm import audio, chat, decontam, lines, packing, pii, secrets, urlgraph
 from kgspark.llm._common import table
 
 
@@ -20,6 +20,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digest(audio.featured(audio.media(table(spark, sf_dir, "documents"))))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame(
@@ -29,6 +33,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold(chat.events_of(rows))))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -37,6 +45,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -44,12 +56,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_audio": op2_audio,
         "op4_chat": op4_chat,
+        "op6_urls": op6_urls,
         "op7_decontam": op7_decontam,
         "op8_packing": op8_packing,
+        "op9_lines": op9_lines,
         "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.SQL, "op7_decontam": decontam.SQL}
+    return {"op4_chat": chat.SQL, "op6_urls": urlgraph.sql(), "op7_decontam": decontam.SQL}
