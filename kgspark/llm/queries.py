@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import audio, chat, decontam, lines, packing, pii, secrets, urlgraph
+from kgspark.llm import audio, chat, decontam, jaccard, lines, packing, pii, secrets, urlgraph
 from kgspark.llm._common import table
 
 
@@ -33,6 +33,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold(chat.events_of(rows))))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.judge(table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_audio": op2_audio,
         "op4_chat": op4_chat,
+        "op5_jaccard": op5_jaccard,
         "op6_urls": op6_urls,
         "op7_decontam": op7_decontam,
         "op8_packing": op8_packing,
@@ -67,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.SQL, "op6_urls": urlgraph.sql(), "op7_decontam": decontam.SQL}
+    return {"op4_chat": chat.SQL, "op5_jaccard": jaccard.SQL, "op6_urls": urlgraph.sql(), "op7_decontam": decontam.SQL}
