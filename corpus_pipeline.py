@@ -1,11 +1,73 @@
-"""The corpus pipeline: stages over documents, each written and read again by the caller."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
-STAGES: list = []
+Stages return the columns of documents, the last one packed pieces. What a stage decides takes effect:
+  language_id        documents whose language is ``und`` or scored below ``MIN_SCORE`` go
+  ngram_jaccard      one document of each class stays, the one with the least doc_id
+  decontaminate      documents that hold a benchmark window go
+  secrets            secrets are replaced in the text; the document stays
+  packing            the rest is packed into sequences
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgspark.llm import decontam, jaccard, langid, packing, secrets
+from kgspark.llm._common import shared_dir, table
+from kgspark.llm.queries import tokenizer_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MIN_SCORE = 0.3
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not listed; rows without an id stay. A row's text is judged the same wherever it repeats."""
+    return docs.join(ids.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.identify(docs)
+    return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_SCORE)).select("doc_id"))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.search(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("n_hit > 0").select("doc_id"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontaminate", decontaminate),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+#: A trained network and a tokenizer are not SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import audio, chat, decontam, jaccard, lines, packing, pii, secrets, urlgraph
+from kgspark.llm import audio, chat, decontam, jaccard, langid, lines, packing, pii, secrets, urlgraph
 from kgspark.llm._common import table
 
 
@@ -24,6 +24,10 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.featured(audio.media(table(spark, sf_dir, "documents"))))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame(
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_audio": op2_audio,
+        "op3_langid": op3_langid,
         "op4_chat": op4_chat,
         "op5_jaccard": op5_jaccard,
         "op6_urls": op6_urls,
