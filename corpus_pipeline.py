@@ -23,14 +23,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_SCORE = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not listed; rows without an id stay. A row's text is judged the same wherever it repeats."""
-    return docs.join(ids.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs)
-    return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_SCORE)).select("doc_id"))
+    found = langid.predict(docs, langid.fitted(docs), COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +33,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.search(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0").select("doc_id"))
+    return decontam.search(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS).where("n_hit = 0").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,12 +53,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
+def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable], carry: tuple[str, ...] = ()) -> DataFrame:
     """Applies a row-block function inside Arrow batches.
 
-    ``make`` runs once a task and returns ``f(*column lists) -> tuple of output lists``.
+    ``make`` runs once a task and returns ``f(*column lists) -> tuple of output lists``. Columns in ``carry`` pass
+    through untouched, before the made ones; the function must then give one output row for each input row.
     """
     fields = []
+    inputs = len(columns)
     for part in schema.split(", "):
         name, kind = part.split(" ", 1)
         fields.append(pa.field(name, _ARROW[kind]))
@@ -68,12 +70,14 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out = f(*(c.to_pylist() for c in part.columns))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t.type) for v, t in zip(out, fields, strict=True)], schema=pa.schema(fields)
-                )
-
-    return df.select(*columns).mapInArrow(run, schema)
+                out = f(*(c.to_pylist() for c in part.columns[:inputs]))
+                kept = part.columns[inputs:]
+                made = [pa.array(v, t.type) for v, t in zip(out, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=[*carry, *(t.name for t in fields)])
+
+    given = df.select(*columns, *(F.col(c).alias(f"__carry_{k}") for k, c in enumerate(carry)))
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carry)
+    return given.mapInArrow(run, kinds + schema)
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

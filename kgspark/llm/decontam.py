@@ -100,13 +100,14 @@ def tables(patterns: list[tuple[str, list[int]]]) -> list[WuManber]:
     return [WuManber(size, rows) for size, rows in sorted(by_size.items())]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row a document row: doc_id, n_words, n_hit, items (sorted ids of the items with occurring windows)."""
+def search(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row a document row: the carried columns, n_words, n_hit, items (sorted ids of items with occurring windows)."""
     spark = docs.sparkSession
     found = cut(windows(benchmark))
     blocks = max(1, -(-found.count() // block_windows))
     state = docs.select(
-        "doc_id", "text", F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<long>").alias("items")
+        *carry, F.col("text").alias("__text"), F.lit(None).cast("binary").alias("__mask"),
+        F.lit(None).cast("array<long>").alias("__items"),
     )
     for k in range(blocks):
         part = found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k) if blocks > 1 else found
@@ -116,24 +117,24 @@ def search(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WIN
         def make(patterns=patterns, last=last):
             machines = tables(patterns.value)
 
-            def f(ids, texts, masks, items):
+            def f(texts, masks, items):
                 out: list[tuple] = []
-                for i, text, mask, known in zip(ids, texts, masks, items, strict=True):
+                for text, mask, known in zip(texts, masks, items, strict=True):
                     w = words(text)
                     mask = bytearray(mask) if mask is not None else bytearray(len(w))
                     got = set(known or ())
                     for m in machines:
                         m.scan(w, mask, got)
                     if last:
-                        out.append((i, len(w), mask.count(1), sorted(got)))
+                        out.append((len(w), mask.count(1), sorted(got)))
                     else:
-                        out.append((i, text, bytes(mask), sorted(got)))
-                return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [], [])
+                        out.append((text, bytes(mask), sorted(got)))
+                return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
 
             return f
 
-        schema = "doc_id long, n_words long, n_hit long, items array<long>" if last else "doc_id long, text string, mask binary, items array<long>"
-        state = map_columns(state, ["doc_id", "text", "mask", "items"], schema, make)
+        schema = "n_words long, n_hit long, items array<long>" if last else "__text string, __mask binary, __items array<long>"
+        state = map_columns(state, ["__text", "__mask", "__items"], schema, make, carry)
         if not last:
             state = written(state)
     return state

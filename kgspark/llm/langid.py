@@ -227,23 +227,23 @@ def positions(net: Network, text: str) -> list[str]:
     return out
 
 
-def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, lang_pred, score of every document row."""
+def predict(docs: DataFrame, net: Network, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, lang_pred and score of every document row."""
 
     def make():
-        def f(ids, texts):
+        def f(texts):
             data = [t.encode("utf-8", "surrogatepass") if t and any(map(str.isalpha, t)) else b"" for t in texts]
-            lang, score = [UNKNOWN] * len(ids), [0.0] * len(ids)
+            lang, score = [UNKNOWN] * len(data), [0.0] * len(data)
             some = [k for k, t in enumerate(data) if t]
             if some and net.langs:
                 p = document_probabilities(net, [data[k] for k in some])
                 for k, best, row in zip(some, p.argmax(axis=1), p, strict=True):
                     lang[k], score[k] = net.langs[best], float(min(1.0, row[best]))
-            return ids, lang, score
+            return lang, score
 
         return f
 
-    return map_columns(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", make)
+    return map_columns(docs, ["text"], "lang_pred string, score double", make, carry)
 
 
 def identify(docs: DataFrame) -> DataFrame:
