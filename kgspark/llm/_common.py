@@ -80,6 +80,17 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[
     return given.mapInArrow(run, kinds + schema)
 
 
+def worker_state(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between the tasks it runs, such as a loaded tokenizer and its remembered words."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_kgspark_worker_state", types.ModuleType("_kgspark_worker_state"))
+    if not hasattr(held, key):
+        setattr(held, key, make())
+    return getattr(held, key)
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: rows (node, label), label the least node of each component.
 

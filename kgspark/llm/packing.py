@@ -15,16 +15,17 @@ import bisect
 import unicodedata
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kgspark.llm._common import cut, map_columns
+from kgspark.llm._common import cut, map_columns, worker_state
 
 SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a task remembers; beyond that it forgets them all and goes on.
-CACHE = 400_000
+#: Words that a Python worker remembers; beyond that it forgets them all and goes on.
+CACHE = 600_000
 
 
 class WordEncoder:
@@ -42,7 +43,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.last = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -51,22 +54,19 @@ class WordEncoder:
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return np.array(ids, "<u4").tobytes()
 
     def _plain(self, words: list[str]) -> None:
         """Words of letters only, each one token group: many to a call, told apart by the word-end ids."""
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
-            (ids,) = self._direct([" ".join(part)])
-            groups, group = [], []
-            for i in ids:
-                group.append(i)
-                if i in self.last:
-                    groups.append(group)
-                    group = []
-            if group or len(groups) != len(part):
-                groups = self._direct(part)
-            self.cores.update(zip(part, map(self._packed, groups), strict=True))
+            ids = np.array(self._direct([" ".join(part)])[0], "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(part) and ends[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                self.cores.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))  # noqa: B905
+            else:
+                self.cores.update(zip(part, map(self._packed, self._direct(part)), strict=True))
 
     def learn(self, missing: set[str]) -> None:
         plain, other, cut = {}, [], []
@@ -91,8 +91,7 @@ class WordEncoder:
             self.words[w] = cores[c] + direct[w[len(c) :]] if len(c) < len(w) else cores[c]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {k for k, t in enumerate(texts) if not t.isascii() and not t.isprintable() or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
-        odd = {k for k in odd if any(c in texts[k] for c in "\x1c\x1d\x1e\x1f")}
+        odd = {k for k, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
         split = [() if k in odd else t.split() for k, t in enumerate(texts)]
         if len(self.words) > CACHE:
             self.words.clear()
@@ -115,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
     """Rows doc_id, piece, start, length, ids_crc32."""
 
     def make():
-        encoder = WordEncoder(tokenizer_path)
+        encoder = worker_state(f"words {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
 
         def f(ids, texts):
             out = []
