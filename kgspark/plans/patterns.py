@@ -40,17 +40,26 @@ def match_one(triples: DataFrame, pattern: Pattern) -> DataFrame:
 
 def transitive(triples: DataFrame, predicate: str) -> DataFrame:
     """Pairs joined by one or more steps of a predicate, path lengths doubling each round."""
-    known = cut(triples.where(F.col("p") == predicate).select("s", "o").distinct())
+    # Concatenation with nothing drops what the optimizer knows of the columns: it can't carry that through the unions
+    # of a stored frame with itself.
+    fresh = (F.concat(c, F.lit("")).alias(c) for c in ("s", "o"))
+    known = cut(triples.where(F.col("p") == predicate).select(*fresh).distinct())
     delta = known
     while True:
-        step = delta.withColumnRenamed("o", "m").join(known.withColumnRenamed("s", "m"), "m").select("s", "o")
-        back = known.withColumnRenamed("o", "m").join(delta.withColumnRenamed("s", "m"), "m").select("s", "o")
+        step = _followed(delta, known)
+        back = _followed(known, delta)
         new = cut(step.union(back).distinct().join(known, ["s", "o"], "left_anti"))
         if new.isEmpty():
             return known.select("s", F.lit(predicate).alias("p"), "o")
         known, delta = known.union(new), new
 
 
+def _followed(a: DataFrame, b: DataFrame) -> DataFrame:
+    left = a.select(F.col("s").alias("first"), F.col("o").alias("m"))
+    right = b.select(F.col("s").alias("m"), F.col("o").alias("last"))
+    return left.join(right, "m").select(F.col("first").alias("s"), F.col("last").alias("o"))
+
+
 def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
@@ -102,7 +111,7 @@ def violations(triples: DataFrame, shapes: DataFrame, type_predicate: str = "rdf
     scope = shapes.select("class", "kind", "path", F.col("value").alias("want")).join(member, "class")
     none = F.lit(None).cast("string")
     few = scope.where("kind = 'minCount'").join(values.groupBy("focus", "path").agg(F.count("*").alias("n")), ["focus", "path"], "left")
-    few = few.where(F.coalesce("n", F.lit(0)) < F.col("want").cast("int")).select("class", "kind", "path", "focus", none.alias("value"))
+    few = few.where(F.coalesce("n", F.lit(0)) < F.col("want").try_cast("int")).select("class", "kind", "path", "focus", none.alias("value"))
     subjects = triples.select(F.col("s").alias("value")).distinct()
     kind = scope.where("kind = 'nodeKind'").join(values, ["focus", "path"]).join(subjects, "value", "left_anti").select("class", "kind", "path", "focus", "value")
     typed = member.select(F.col("focus").alias("value"), F.col("class").alias("want"))

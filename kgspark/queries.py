@@ -459,8 +459,8 @@ def tfidf_scores(spark, d):
 
 
 @query("""WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
-s AS (SELECT query, vec_id AS doc_id, list_sum(list_transform(list_zip(embedding, v), x -> x[1]::DOUBLE * x[2]::DOUBLE))
-  / ((sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))) + 1e-9) * (sqrt(list_sum(list_transform(v, x -> x::DOUBLE * x::DOUBLE))) + 1e-9)) AS score FROM embeddings, q)
+s AS (SELECT query, vec_id AS doc_id, list_sum(list_transform(list_zip(embedding, v), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))
+  / ((sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9) * (sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9)) AS score FROM embeddings, q)
 SELECT query, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def dense_topk(spark, d):
     e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
@@ -481,7 +481,7 @@ def core_mapping(spark, d):
 
 
 @query(f"""WITH {BASE}, q AS (SELECT 'which europe building orders' AS q), w AS (SELECT id, label, description, lower(label) AS l, q, regexp_split_to_array(lower(label), '[\\s_\\-]+') AS lw, regexp_split_to_array(q, '[\\s_\\-]+') AS qw FROM nodes, q),
-s AS (SELECT id, CASE WHEN contains(q, l) THEN 10 WHEN contains(l, q) THEN 6 ELSE 3 * len(list_filter(lw, x -> length(x) >= 2 AND contains(q, x))) + 2 * len(list_filter(qw, x -> length(x) >= 2 AND contains(l, x))) END
+s AS (SELECT id, CASE WHEN contains(q, l) THEN 10 WHEN contains(l, q) THEN 6 ELSE 3 * len(list_filter(lw, lambda x: length(x) >= 2 AND contains(q, x))) + 2 * len(list_filter(qw, lambda x: length(x) >= 2 AND contains(l, x))) END
   + CASE WHEN contains(lower(coalesce(description, '')), q) THEN 1 ELSE 0 END AS score FROM w) SELECT id, score FROM s WHERE score > 0""")
 def rag_anchors(spark, d):
     return retrieve.anchors(testgraph.load(spark, d, stored=False).nodes, "which europe building orders")
@@ -489,7 +489,7 @@ def rag_anchors(spark, d):
 
 # Documents
 
-_WORDS = "list_filter(regexp_split_to_array(text, '[\\s]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(text, '[\\s]+'), lambda x: x <> '')"
 
 
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents)
@@ -500,7 +500,7 @@ def chunk_words(spark, d):
     return c.join(many, "doc_id", "left_semi").select("doc_id", "chunk", F.sha2("text", 256).alias("digest"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(string_split(replace(text, chr(13), ''), chr(10)), x -> trim(x) <> '') AS w, text FROM documents)
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(x) <> '') AS w, text FROM documents)
 SELECT doc_id, CASE WHEN many THEN ((s - 1) / 25)::INT ELSE 0 END AS chunk, sha256(CASE WHEN many THEN array_to_string(list_concat(w[1:1], w[s + 1:s + 25]), chr(10)) ELSE text END) AS digest
 FROM (SELECT doc_id, w, text, len(w) > 26 AS many, unnest(CASE WHEN len(w) > 26 THEN range(1, len(w), 25) ELSE [0] END) AS s FROM w)""")
 def chunk_rows(spark, d):
