@@ -3,7 +3,7 @@
 Units are lines. A long line is further cut at sentence ends, and a long sentence behind words whose hash is least
 among their neighbours, so that the same passage yields the same units wherever it starts. Units are normalised (case,
 white space, digits kept), hashed to 128 bits and grouped globally; the earliest occurrence by (doc_id, position) is
-kept, later ones are taken out. Original offsets (code points, end exclusive) stay with every unit.
+kept, later ones are taken out. Removed spans keep their original offsets (code points, end exclusive).
 
 Units of fewer than ``MIN_WORDS`` words are removed only between removed neighbours. Null or empty text has no units
 and stays as it is. Documents that repeat a doc_id are told apart by their text; where that is equal too, the copies
@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import map_columns, written
+from kgspark.llm._common import map_columns
 
 MIN_WORDS = 5
 LONG_LINE = 24
@@ -70,8 +70,17 @@ def digest128(text: str) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def fresh_units(text: str):
+    """Units of a text with their digests: (unit, start, end, words, digest, whether it stood earlier in the text)."""
+    seen: set = set()
+    for k, (a, b, n) in enumerate(units(text)):
+        d = digest128(text[a:b])
+        yield k, a, b, n, d, d in seen
+        seen.add(d)
+
+
 def hashed_units(docs: DataFrame) -> DataFrame:
-    """Rows doc_id, key (of the text), unit, start, end, words, hi, lo."""
+    """Rows doc_id, key (of the text), unit, hi, lo: the first place of each digest in each document."""
 
     def make():
         def f(ids, texts):
@@ -79,33 +88,49 @@ def hashed_units(docs: DataFrame) -> DataFrame:
             for i, t in zip(ids, texts, strict=True):
                 if t:
                     key = digest128(t)[0]
-                    out.extend((i, key, k, a, b, n, *digest128(t[a:b])) for k, (a, b, n) in enumerate(units(t)))
-            return tuple(map(list, zip(*out, strict=True))) if out else ([],) * 8
+                    out.extend((i, key, k, *d) for k, _, _, _, d, again in fresh_units(t) if not again)
+            return tuple(map(list, zip(*out, strict=True))) if out else ([],) * 5
 
         return f
 
-    schema = "doc_id long, key long, unit int, start int, end int, words int, hi long, lo long"
-    return map_columns(docs, ["doc_id", "text"], schema, make)
+    return map_columns(docs, ["doc_id", "text"], "doc_id long, key long, unit int, hi long, lo long", make)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Later occurrences only: doc_id, key, unit, start, end, words, with the keeper's keep_doc and keep_unit."""
-    every = written(hashed_units(docs))
-    rank = F.struct("doc_id", "key", "unit")
+    """Units that an earlier document keeps: doc_id, key, unit, keep_doc.
+
+    Units are made anew for the count and for the join: that costs less than storing them, and only digests and ids
+    are ever shuffled.
+    """
+    every = hashed_units(docs).withColumn("rank", F.coalesce("doc_id", F.lit(-(2**63))))
     first = (
         every.groupBy("hi", "lo")
-        .agg(F.min(rank).alias("keep"), F.max(rank).alias("last"))
-        .where(F.col("keep") < F.col("last"))
-        .select("hi", "lo", "keep")
-    )
-    return (
-        every.join(first, ["hi", "lo"])
-        .where(F.col("keep") < rank)
-        .select(
-            "doc_id", "key", "unit", "start", "end", "words",
-            F.col("keep.doc_id").alias("keep_doc"), F.col("keep.unit").alias("keep_unit"),
-        )
+        .agg(F.min("rank").alias("keep_doc"), F.max("rank").alias("last"))
+        .where("keep_doc < last")
+        .select("hi", "lo", "keep_doc")
     )
+    return every.join(first, ["hi", "lo"]).where("keep_doc < rank").select("doc_id", "key", "unit", "keep_doc")
+
+
+def removal(text: str, later: dict[int, int], doc_id: int | None, min_words: int) -> tuple[str, list[tuple[int, int]], set]:
+    """The text without its repeated units, the removed spans and the documents that keep them."""
+    runs: list[list] = []  # last unit, start, end, largest unit in words, keepers
+    for k, a, b, n, _, again in fresh_units(text):
+        if not again and k not in later:
+            continue
+        keeper = doc_id if k not in later else later[k]
+        if runs and k == runs[-1][0] + 1:
+            x = runs[-1]
+            x[0], x[2], x[3] = k, b, max(x[3], n)
+            x[4].add(keeper)
+        else:
+            runs.append([k, a, b, n, {keeper}])
+    runs = [x for x in runs if x[3] >= min_words]
+    kept, at = [], 0
+    for _, a, b, _, _ in runs:
+        kept.append(text[at:a])
+        at = b + (text[b : b + 1] == "\n")
+    return "".join([*kept, text[at:]]), [(a, b) for _, a, b, _, _ in runs], {d for x in runs for d in x[4]}
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -114,37 +139,26 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Rows doc_id, text, n_removed (spans), removed_chars, removed_spans (start:end, comma-joined, of the original
     text), keep_docs (sorted ids of the documents that keep the removed passages).
     """
-    later = repeats(docs).distinct()
-    grouped = later.groupBy("doc_id", "key").agg(
-        F.sort_array(F.collect_list(F.struct("unit", "start", "end", "words", "keep_doc"))).alias("r")
+    grouped = repeats(docs).groupBy("doc_id", "key").agg(
+        F.collect_list("unit").alias("unit"), F.collect_list("keep_doc").alias("keep")
     )
 
     def make():
-        def f(ids, texts, found):
+        def f(ids, texts, found, keep):
             out = []
-            for i, t, rows in zip(ids, texts, found, strict=True):
-                runs: list[list] = []  # first unit, last unit, start, end, largest unit in words, keepers
-                for r in rows or ():
-                    if runs and r["unit"] == runs[-1][1] + 1:
-                        x = runs[-1]
-                        x[1], x[3], x[4] = r["unit"], r["end"], max(x[4], r["words"])
-                        x[5].add(r["keep_doc"])
-                    else:
-                        runs.append([r["unit"], r["unit"], r["start"], r["end"], r["words"], {r["keep_doc"]}])
-                runs = [x for x in runs if x[4] >= min_words]
-                kept, at = [], 0
-                for x in runs:
-                    kept.append(t[at : x[2]])
-                    at = x[3] + (t[x[3] : x[3] + 1] == "\n")
-                clean = t if t is None else "".join([*kept, t[at:]])
-                keepers = sorted({d for x in runs for d in x[5] if d is not None})
-                out.append((i, clean, len(runs), sum(x[3] - x[2] for x in runs), ",".join(f"{x[2]}:{x[3]}" for x in runs), keepers))
+            for i, t, rows, keepers in zip(ids, texts, found, keep, strict=True):
+                if not t:
+                    out.append((i, t, 0, 0, "", []))
+                    continue
+                clean, spans, docs = removal(t, dict(zip(rows or (), keepers or ())), i, min_words)
+                named = sorted(d for d in docs if d is not None and d != -(2**63))
+                out.append((i, clean, len(spans), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), named))
             return tuple(map(list, zip(*out, strict=True)))
 
         return f
 
-    keyed = map_columns(docs, ["doc_id", "text"], "doc_id long, text string, key long", lambda: lambda i, t: (i, t, [digest128(x)[0] if x else None for x in t]))
+    keyed = map_columns(docs, ["text"], "key long", lambda: lambda t: ([digest128(x)[0] if x else None for x in t],), ("doc_id", "text"))
     d, g = keyed.alias("d"), grouped.alias("g")
     joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.key") == F.col("g.key")), "left")
     schema = "doc_id long, text string, n_removed int, removed_chars long, removed_spans string, keep_docs array<long>"
-    return map_columns(joined.select("d.doc_id", "d.text", "g.r"), ["doc_id", "text", "r"], schema, make)
+    return map_columns(joined.select("d.doc_id", "d.text", "g.unit", "g.keep"), ["doc_id", "text", "unit", "keep"], schema, make)
