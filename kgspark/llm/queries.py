@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.SQL, "op5_jaccard": jaccard.SQL, "op6_urls": urlgraph.sql(), "op7_decontam": decontam.SQL}
+    return {"op4_chat": chat.SQL, "op5_jaccard": jaccard.SQL, "op6_urls": urlgraph.sql(), "op7_decontam": decontam.SQL, "op10_secrets": secrets.sql()}

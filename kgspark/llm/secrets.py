@@ -23,7 +23,7 @@ WINDOW = 20
 LIMITS = {"entropy_hex": 3.05, "entropy_text": 3.85}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Strings that look random and are public.
-ALLOW = r"(?i)example|changeme|placeholder|^(.)\1+$|0123456789|abcdefghij|^d41d8cd98f00b204e9800998ecf8427e$|^e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855$"
+ALLOW = r"(?i)example|changeme|placeholder|0123456789|abcdefghij|^d41d8cd98f00b204e9800998ecf8427e$|^e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855$"
 
 
 def _either_case(word: str) -> str:
@@ -164,3 +164,29 @@ def redacted(text: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with secrets taken out of ``text``; all other columns as they were."""
     return docs.withColumn("text", redacted(F.col("text")))
+
+
+def sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (
+  SELECT doc_id, 'assign' AS kind, 0 AS rank, string_split_regex(t, {quoted(ASSIGN)}) AS g, regexp_extract_all(t, {quoted(ASSIGN)}) AS m FROM d
+  UNION ALL SELECT doc_id, 'access', 1, string_split_regex(t, {quoted(ACCESS)}), regexp_extract_all(t, {quoted(ACCESS)}) FROM d
+  UNION ALL SELECT doc_id, 'hex', 2, string_split_regex(t, {quoted(HEX)}), regexp_extract_all(t, {quoted(HEX)}) FROM d
+  UNION ALL SELECT doc_id, 'candidate', 3, string_split_regex(t, {quoted(CANDIDATE)}), regexp_extract_all(t, {quoted(CANDIDATE)}) FROM d),
+i AS (SELECT doc_id, kind, rank, g, m, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+s AS (SELECT doc_id, kind, rank, m[i] AS v,
+  (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM i),
+e AS (SELECT *, CASE WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN 'entropy_hex' ELSE 'entropy_text' END AS ek,
+  list_max(list_transform(range(1, length(v) - {WINDOW - 2}), lambda k: list_aggregate(string_split(substr(v, k, {WINDOW}), ''), 'entropy'))) AS h
+  FROM s WHERE kind = 'candidate' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, {quoted(ALLOW)})),
+k AS (
+  SELECT doc_id, kind, rank, a, a + length(v) AS b FROM s WHERE kind IN ('access', 'hex') OR (kind = 'assign' AND length(regexp_extract(v, {quoted(ASSIGN)}, 2)) >= 6)
+  UNION ALL SELECT doc_id, ek, CASE ek WHEN 'entropy_hex' THEN 3 ELSE 4 END, a, a + length(v) FROM e
+    WHERE h >= CASE ek WHEN 'entropy_hex' THEN {LIMITS["entropy_hex"]} ELSE {LIMITS["entropy_text"]} END),
+o AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (doc_id)
+"""
