@@ -32,6 +32,13 @@ def counts(df: DataFrame, key: str, missing: str = "(none)") -> DataFrame:
     return df.groupBy(F.when(k.isNull() | (k == ""), F.lit(missing)).otherwise(k).alias(key)).agg(F.count("*").alias("count"))
 
 
+def search(nodes: DataFrame, query: str) -> DataFrame:
+    """Nodes whose label, description or type holds the trimmed query, whatever the case; none for an empty query."""
+    q = query.strip().lower()
+    hit = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False))
+    return nodes.where((hit("label") | hit("description") | hit("type")) & F.lit(q != ""))
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """Both directions of every edge: u, v."""
     e = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.functions import text as T
 from kgspark.functions import vocabulary as V
 from kgspark.operators import chunks, dedup, explore, kb, layout, merge, retrieve, rules, score, validate
 from kgspark.operators import graph as ga
@@ -105,6 +106,24 @@ def closure_stats(spark, d):
     return stats(n, closure(n), validate.dangling(g))
 
 
+@query(f"""WITH {NORM} SELECT DISTINCT n.source AS s, 'rdf:type' AS p, c.id AS o FROM norm n JOIN nodes c ON c.id = 'cls:Part' OR c.id LIKE 'ptype:%'
+  WHERE n.label = 'rdf:type' AND n.target LIKE 'ptype:%' AND c.id <> n.target""")
+def infer_equivalent(spark, d):
+    """Part types declared equivalent to the class of parts, without the subclass edges."""
+    g = _normal(spark, d, V.TYPE)
+    kinds = g.nodes.where("id like 'ptype:%'")
+    same = kinds.select(F.concat(F.lit("q:"), "id").alias("id"), F.col("id").alias("source"), F.lit("cls:Part").alias("target"), F.lit(V.EQUIVALENT).alias("label"))
+    e = g.edges.where("target like 'ptype:%'").unionByName(same, allowMissingColumns=True)
+    return _inferred(closure(Graph(g.nodes, e)), V.TYPE)
+
+
+@query(f"WITH {NORM} SELECT DISTINCT target AS s, 'uses' AS p, source AS o FROM norm WHERE label = 'ordered by'")
+def infer_subproperty(spark, d):
+    g = _normal(spark, d, "ordered by")
+    e = g.edges.withColumns({"super_relation": F.lit("uses"), "super_inverse": F.lit(True)})
+    return _inferred(closure(Graph(g.nodes, e)), "uses")
+
+
 # Validation
 
 _IDS = "array_to_string({0}, ',')"
@@ -434,6 +453,34 @@ def merge_into_nodes(spark, d):
     return merge.merge_into(Graph(cur, inner), Graph(inc, g.edges)).nodes.select("id")
 
 
+# Text functions and search
+
+
+@query(rf"""WITH {BASE} SELECT DISTINCT label,
+  regexp_replace(regexp_replace(lower(trim(label)), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g') AS relation_key, regexp_replace(lower(trim(label)), '[\s_\-·]+', ' ', 'g') AS label_norm,
+  trim(regexp_replace(lower(label), '[\s_\-()]+', ' ', 'g')) AS search_norm, regexp_replace(lower(label), '[\s_\-·.,()]', '', 'g') AS entity_norm,
+  lower(trim(regexp_replace(regexp_replace(label, '[()]', '', 'g'), '\s+', ' ', 'g'))) AS connect_norm, 'en' AS language,
+  replace(replace(replace(label, ' ', '_'), '#', '%23'), '/', '%2F') AS iri_local, len(list_filter(regexp_split_to_array(label, '[\s_\-]+'), lambda x: length(x) >= 2)) AS n_tokens,
+  replace(replace(label, '&', '&amp;'), '<', '&lt;') AS xml FROM nodes""")
+def string_functions(spark, d):
+    n = testgraph.load(spark, d, stored=False).nodes.select("label").distinct()
+    return n.select(
+        "label", T.relation_key("label").alias("relation_key"), T.label_norm("label").alias("label_norm"), T.search_norm("label").alias("search_norm"), T.entity_norm("label").alias("entity_norm"),
+        T.connect_norm("label").alias("connect_norm"), T.language("label").alias("language"), T.iri_local("label").alias("iri_local"), F.size(T.tokens("label")).alias("n_tokens"), T.xml_escape("label").alias("xml"),
+    )
+
+
+@query(f"""WITH {BASE} SELECT id, CASE type WHEN 'Class' THEN array_to_string(list_transform(string_split(trim(label), ' '), lambda x: upper(x[1:1]) || x[2:]), ' ')
+  WHEN 'Instance' THEN upper(trim(label)[1:1]) || trim(label)[2:] ELSE label END AS label FROM nodes""")
+def normalized_labels(spark, d):
+    return dedup.normalized_labels(testgraph.load(spark, d, stored=False).nodes)
+
+
+@query(f"WITH {BASE} SELECT id FROM nodes WHERE contains(lower(label), 'brand#1') OR contains(lower(coalesce(description, '')), 'brand#1') OR contains(lower(type), 'brand#1')")
+def search_nodes(spark, d):
+    return ga.search(testgraph.load(spark, d, stored=False).nodes, " Brand#1 ").select("id")
+
+
 # Retrieval
 
 _GRAMS = """qs AS (SELECT DISTINCT p_type AS query FROM part),
@@ -537,9 +584,19 @@ def kb_delete_source(spark, d):
     return kb.stats(kb.delete_source(_two_sources(spark, d)[1].kb, "one"))
 
 
-@query("""SELECT n_name AS label, lower(n_name) = 'united' AS exact FROM nation WHERE lower(n_name) LIKE '%united%'""")
+@query("""SELECT n_name AS label, n_name = 'NATION_1' AS exact FROM nation WHERE n_name LIKE 'NATION^_1%' ESCAPE '^'""")
 def kb_search(spark, d):
-    return kb.search(_two_sources(spark, d)[0].kb, "United").select("label", "exact")
+    return kb.search(_two_sources(spark, d)[0].kb, "Nation 1").select("label", "exact")
+
+
+@query("""SELECT n_name AS label, 'size' AS key, n_nationkey::VARCHAR AS kept, (n_nationkey + 1)::VARCHAR AS refused FROM nation""")
+def kb_conflicts(spark, d):
+    n = _table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("label"))
+    node = lambda p, v: n.select(F.concat(F.lit(p), "n_nationkey").alias("id"), "label", F.lit("Instance").alias("type"), F.array(F.struct(F.lit("size").alias("key"), v.cast("string").alias("value"))).alias("properties"))
+    none = spark.createDataFrame([], "id string, source string, target string, label string")
+    one = kb.ingest(kb.KnowledgeBase.empty(spark), graph(node("a", F.col("n_nationkey")), none), "one")
+    two = kb.ingest(one.kb, graph(node("b", F.col("n_nationkey") + 1), none), "two", created=1)
+    return two.conflicts.join(two.kb.nodes.select(F.col("id").alias("kb_id"), "label"), "kb_id").select("label", "key", "kept", "refused")
 
 
 # Sources and sinks
@@ -579,6 +636,26 @@ def export_cypher(spark, d):
     return exports.cypher(testgraph.load(spark, d)).select("line")
 
 
+@query()
+def export_markdown(spark, d):
+    return exports.markdown(testgraph.load(spark, d)).select("section", "key", "part", "line")
+
+
+@query()
+def export_context(spark, d):
+    return exports.context_text(testgraph.load(spark, d)).select("key", "part", "line")
+
+
+@query()
+def export_turtle(spark, d):
+    return exports.turtle(testgraph.load(spark, d)).select("key", "part", "line")
+
+
+@query()
+def export_shapes(spark, d):
+    return exports.shapes(_normal(spark, d))
+
+
 @query()
 def export_triples(spark, d):
     return exports.ntriples(exports.to_triples(testgraph.load(spark, d)))
