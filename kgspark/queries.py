@@ -636,12 +636,24 @@ def export_cypher(spark, d):
     return exports.cypher(testgraph.load(spark, d)).select("line")
 
 
-@query()
+@query(f"""WITH {BASE}, k(type, section) AS (VALUES ('Class', 1), ('Instance', 2), ('Literal', 3)),
+e AS (SELECT e.id, source, target, CASE WHEN e.label = '' THEN 'related' ELSE e.label END AS rel, coalesce(nullif(e.label, ''), '—') AS dash, s.label AS sl, s.type AS st, t.label AS tl, t.type AS tt
+  FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target),
+c AS (SELECT count(*) AS n, count(*) FILTER (type = 'Class') AS a, count(*) FILTER (type = 'Instance') AS b, count(*) FILTER (type = 'Literal') AS l FROM nodes), d AS (SELECT count(*) AS d FROM edges)
+SELECT 0 AS section, '' AS key, i AS part, '| ' || x || ' | ' || v || ' |' AS line FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i, unnest(['nodes', 'Class', 'Instance', 'Literal', 'direct', 'inferred']) AS x, unnest([n, a, b, l, d, 0]) AS v FROM c, d)
+UNION ALL SELECT section, id, 0, '### ' || label FROM nodes JOIN k USING (type) UNION ALL SELECT section, id, 1, description FROM nodes JOIN k USING (type) WHERE description <> ''
+UNION ALL SELECT section, id, 2, '- `' || pk || '`: ' || pv FROM nodes JOIN k USING (type) WHERE pk IS NOT NULL
+UNION ALL SELECT section, source, 3, '- → `' || rel || '` → **' || tl || '**' FROM e JOIN k ON k.type = st UNION ALL SELECT section, target, 4, '- ← `' || rel || '` ← **' || sl || '**' FROM e JOIN k ON k.type = tt
+UNION ALL SELECT 4, id, 0, '| ' || sl || ' | `' || dash || '` | ' || tl || ' |' FROM e""")
 def export_markdown(spark, d):
     return exports.markdown(testgraph.load(spark, d)).select("section", "key", "part", "line")
 
 
-@query()
+@query(f"""WITH {BASE}, e AS (SELECT source, target, CASE WHEN e.label = '' THEN 'related' ELSE e.label END AS rel, s.label AS sl, s.type AS st, t.label AS tl, t.type AS tt
+  FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target)
+SELECT id AS key, 0 AS part, '[' || type || '] ' || label AS line FROM nodes UNION ALL SELECT id, 1, '  설명: ' || description FROM nodes WHERE description <> ''
+UNION ALL SELECT id, 2, '  ' || pk || ': ' || pv FROM nodes WHERE pk IS NOT NULL UNION ALL SELECT source, 3, '  → [' || rel || '] → ' || tl || ' [' || tt || ']' FROM e
+UNION ALL SELECT target, 4, '  ← [' || rel || '] ← ' || sl || ' [' || st || ']' FROM e""")
 def export_context(spark, d):
     return exports.context_text(testgraph.load(spark, d)).select("key", "part", "line")
 
