@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ARROW = {
     "long": pa.int64(),
     "int": pa.int32(),
@@ -75,6 +76,9 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[
                 made = [pa.array(v, t.type) for v, t in zip(out, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=[*carry, *(t.name for t in fields)])
 
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":  # Spark's default; texts are long, and each task holds a batch on both sides
+        conf.set(_BATCH, "1000")
     given = df.select(*columns, *(F.col(c).alias(f"__carry_{k}") for k, c in enumerate(carry)))
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carry)
     return given.mapInArrow(run, kinds + schema)

@@ -31,7 +31,7 @@ RECALL = 0.99999
 HASHES = 350
 BLOCK = 192
 #: Words whose hashes a task remembers.
-CACHE = 500_000
+CACHE = 200_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:

@@ -24,8 +24,9 @@ from kgspark.llm._common import cut, map_columns, worker_state
 
 SEQUENCE = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a Python worker remembers; beyond that it forgets them all and goes on.
-CACHE = 600_000
+#: Words that a Python worker remembers: the first ones it meets, which tend to be the frequent ones. Others are kept
+#: for one block of texts.
+CACHE = 300_000
 
 
 class WordEncoder:
@@ -56,58 +57,63 @@ class WordEncoder:
     def _packed(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def _plain(self, words: list[str]) -> None:
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters only, each one token group: many to a call, told apart by the word-end ids."""
+        out: dict[str, bytes] = {}
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
             ids = np.array(self._direct([" ".join(part)])[0], "<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) == len(part) and ends[-1] == 4 * len(ids):
                 data = ids.tobytes()
-                self.cores.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))  # noqa: B905
+                out.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends)]))  # noqa: B905
             else:
-                self.cores.update(zip(part, map(self._packed, self._direct(part)), strict=True))
+                out.update(zip(part, map(self._packed, self._direct(part)), strict=True))
+        return out
 
-    def learn(self, missing: set[str]) -> None:
-        plain, other, cut = {}, [], []
+    def learned(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of words that aren't remembered; their letters without trailing stops and commas may be."""
+        plain, other, tails = {}, [], set()
         for w in missing:
             core = w.rstrip(".,")
             low = core.lower()
             if core and low.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and len(low) == len(core) and "ς" not in low and "Σ" not in core)):
                 plain[w] = low
                 if len(low) < len(w):
-                    cut.append(w)
+                    tails.add(w[len(low) :])
             else:
                 other.append(w)
-        tails = {w[len(plain[w]) :] for w in cut}
-        new = {c for c in plain.values() if c not in self.cores}
-        self._plain(sorted(new))
-        others = sorted(set(other) | tails)
-        direct = dict(zip(others, map(self._packed, self._direct(others)), strict=True)) if others else {}
-        for w in other:
-            self.words[w] = direct[w]
         cores = self.cores
+        new = self._plain(sorted({c for c in plain.values() if c not in cores}))
+        others = sorted({*other, *tails})
+        direct = dict(zip(others, map(self._packed, self._direct(others)), strict=True)) if others else {}
+        out = {w: direct[w] for w in other}
         for w, c in plain.items():
-            self.words[w] = cores[c] + direct[w[len(c) :]] if len(c) < len(w) else cores[c]
+            ids = cores.get(c) or new[c]
+            out[w] = ids + direct[w[len(c) :]] if len(c) < len(w) else ids
+        if len(cores) < CACHE:
+            cores.update(new)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = {k for k, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
         split = [() if k in odd else t.split() for k, t in enumerate(texts)]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.cores) > CACHE:
-            self.cores.clear()
         known = self.words
         missing: set[str] = set()
         for s in split:
             missing.update(s)
         missing.difference_update(known)
-        if missing:
-            self.learn(missing)
+        new = self.learned(missing) if missing else {}
+        room = len(known) < CACHE
+        known.update(new)
         get = known.__getitem__
-        return [
+        out = [
             self._packed(self._direct([texts[k]])[0]) if k in odd else b"".join(map(get, s)) for k, s in enumerate(split)
         ]
+        if not room:
+            for w in new:
+                del known[w]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
