@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import map_columns
+from kgspark.llm._common import map_columns, written
 
 MIN_WORDS = 5
 LONG_LINE = 24
@@ -46,36 +47,38 @@ def _pieces(text: str, start: int, end: int):
 
 
 def units(text: str):
-    """Spans (start, end, words) of a text's units, in order."""
+    """Units of a text in order: (start, end, normalised words)."""
     for line in _LINE.finditer(text):
         a, b = line.span()
-        n = len(line[0].split())
-        if not n:
-            continue
-        if n <= LONG_LINE:
-            yield a, b, n
+        w = line[0].lower().split()
+        if len(w) <= LONG_LINE:
+            if w:
+                yield a, b, w
             continue
         for m in _SENTENCE.finditer(text, a, b):
             s, e = m.span()
-            n = len(m[0].split())
-            if n <= LONG_SENTENCE:
-                yield s, e, n
+            w = m[0].lower().split()
+            if len(w) <= LONG_SENTENCE:
+                yield s, e, w
             else:
                 for s, e in _pieces(text, s, e):
-                    yield s, e, len(text[s:e].split())
+                    yield s, e, text[s:e].lower().split()
+
+
+def digest128(words: list[str]) -> tuple[int, int]:
+    return struct.unpack("<qq", hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest())
 
 
-def digest128(text: str) -> tuple[int, int]:
-    d = hashlib.md5(" ".join(text.lower().split()).encode("utf-8", "surrogatepass")).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def text_key(text: str) -> int:
+    return struct.unpack("<qq", hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())[0]
 
 
 def fresh_units(text: str):
     """Units of a text with their digests: (unit, start, end, words, digest, whether it stood earlier in the text)."""
     seen: set = set()
-    for k, (a, b, n) in enumerate(units(text)):
-        d = digest128(text[a:b])
-        yield k, a, b, n, d, d in seen
+    for k, (a, b, w) in enumerate(units(text)):
+        d = digest128(w)
+        yield k, a, b, len(w), d, d in seen
         seen.add(d)
 
 
@@ -87,7 +90,7 @@ def hashed_units(docs: DataFrame) -> DataFrame:
             out = []
             for i, t in zip(ids, texts, strict=True):
                 if t:
-                    key = digest128(t)[0]
+                    key = text_key(t)
                     out.extend((i, key, k, *d) for k, _, _, _, d, again in fresh_units(t) if not again)
             return tuple(map(list, zip(*out, strict=True))) if out else ([],) * 5
 
@@ -99,10 +102,9 @@ def hashed_units(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """Units that an earlier document keeps: doc_id, key, unit, keep_doc.
 
-    Units are made anew for the count and for the join: that costs less than storing them, and only digests and ids
-    are ever shuffled.
+    Digests and ids are stored once, for the count and for the join; nothing else is shuffled.
     """
-    every = hashed_units(docs).withColumn("rank", F.coalesce("doc_id", F.lit(-(2**63))))
+    every = written(hashed_units(docs)).withColumn("rank", F.coalesce("doc_id", F.lit(-(2**63))))
     first = (
         every.groupBy("hi", "lo")
         .agg(F.min("rank").alias("keep_doc"), F.max("rank").alias("last"))
@@ -115,10 +117,13 @@ def repeats(docs: DataFrame) -> DataFrame:
 def removal(text: str, later: dict[int, int], doc_id: int | None, min_words: int) -> tuple[str, list[tuple[int, int]], set]:
     """The text without its repeated units, the removed spans and the documents that keep them."""
     runs: list[list] = []  # last unit, start, end, largest unit in words, keepers
-    for k, a, b, n, _, again in fresh_units(text):
-        if not again and k not in later:
+    keepers: dict = {}
+    for k, a, b, n, d, again in fresh_units(text):
+        if k in later:
+            keepers[d] = later[k]
+        elif not again:
             continue
-        keeper = doc_id if k not in later else later[k]
+        keeper = keepers.get(d, doc_id)
         if runs and k == runs[-1][0] + 1:
             x = runs[-1]
             x[0], x[2], x[3] = k, b, max(x[3], n)
@@ -157,7 +162,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         return f
 
-    keyed = map_columns(docs, ["text"], "key long", lambda: lambda t: ([digest128(x)[0] if x else None for x in t],), ("doc_id", "text"))
+    keyed = map_columns(docs, ["text"], "key long", lambda: lambda t: ([text_key(x) if x else None for x in t],), ("doc_id", "text"))
     d, g = keyed.alias("d"), grouped.alias("g")
     joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.key") == F.col("g.key")), "left")
     schema = "doc_id long, text string, n_removed int, removed_chars long, removed_spans string, keep_docs array<long>"
