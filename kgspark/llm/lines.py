@@ -100,18 +100,16 @@ def hashed_units(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Units that an earlier document keeps: doc_id, key, unit, keep_doc.
+    """Units that an earlier document keeps: doc_id, key, unit, keep_doc (-2^63 for a null id).
 
-    Digests and ids are stored once, for the count and for the join; nothing else is shuffled.
+    Documents are ordered by (doc_id, key), null ids first. Digests and ids are stored once, for the count and for the
+    join; nothing else is shuffled. The count only spares single units the join; the order alone decides.
     """
-    every = written(hashed_units(docs)).withColumn("rank", F.coalesce("doc_id", F.lit(-(2**63))))
-    first = (
-        every.groupBy("hi", "lo")
-        .agg(F.min("rank").alias("keep_doc"), F.max("rank").alias("last"))
-        .where("keep_doc < last")
-        .select("hi", "lo", "keep_doc")
-    )
-    return every.join(first, ["hi", "lo"]).where("keep_doc < rank").select("doc_id", "key", "unit", "keep_doc")
+    rank = F.struct("doc_id", "key")
+    every = written(hashed_units(docs))
+    first = every.groupBy("hi", "lo").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "keep")
+    keep_doc = F.coalesce("keep.doc_id", F.lit(-(2**63))).alias("keep_doc")
+    return every.join(first, ["hi", "lo"]).where(F.col("keep") < rank).select("doc_id", "key", "unit", keep_doc)
 
 
 def removal(text: str, later: dict[int, int], doc_id: int | None, min_words: int) -> tuple[str, list[tuple[int, int]], set]:

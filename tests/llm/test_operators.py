@@ -294,6 +294,16 @@ def test_lines_keep_the_first_and_catch_unaligned_passages(spark):
         assert sum(b - a for a, b in spans) == r["removed_chars"] and len(spans) == r["n_removed"]
 
 
+def test_lines_tell_null_and_reused_ids_apart_by_text(spark):
+    line = "this is the one line that both texts of the pair share"
+    made = [(None, f"{line}\nfirst of the texts without an id"), (None, f"{line}\nsecond of the texts without an id")]
+    for rows in (made, [(7, t) for _, t in made]):
+        got = [r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        by_key = sorted(got, key=lambda r: lines.text_key(dict((u.split("\n")[-1], u) for _, u in rows)[r["text"].split("\n")[-1]]))
+        assert [line in r["text"] for r in by_key] == [True, False]
+        assert [r["n_removed"] for r in by_key] == [0, 1]
+
+
 def test_lines_against_a_plain_fold(spark):
     d = corpus(spark)
     seen, want = set(), {}
