@@ -1,11 +1,14 @@
 """Repeated passages by hashing lines.
 
-Units are lines. A long line is further cut at sentence ends, and a long sentence behind words whose hash is least
-among their neighbours, so that the same passage yields the same units wherever it starts. Units are normalised (case,
+Units are pieces of running words: a piece ends behind a word with closing punctuation and behind words whose hash is
+least among their neighbours, and line breaks do not count, so that a passage yields the same units wherever it starts
+and however it is wrapped, but for its first and last words. Each line is also cut by the same rule as if it stood
+alone, so that a repeated line goes whole whatever stands around it; units may overlap. Units are normalised (case,
 white space, digits kept), hashed to 128 bits and grouped globally; the earliest occurrence by (doc_id, position) is
 kept, later ones are taken out. Removed spans keep their original offsets (code points, end exclusive).
 
-Units of fewer than ``MIN_WORDS`` words are removed only between removed neighbours. Null or empty text has no units
+Units of fewer than ``MIN_WORDS`` words are removed only between removed neighbours, and parts of a sentence only where
+at least ``2 * MIN_WORDS`` words go in a row, so that a phrase is not cut out of a sentence of its own. Null or empty text has no units
 and stays as it is. Documents that repeat a doc_id are told apart by their text; where that is equal too, the copies
 count as one document and stay alike. Documents with a null id rank first, in the order of their text's digest.
 """
@@ -16,53 +19,75 @@ import hashlib
 import re
 import struct
 import zlib
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm._common import map_columns, written
 
 MIN_WORDS = 5
+#: A line of at most so many words whose pieces are all under MIN_WORDS is a unit itself.
 LONG_LINE = 24
-LONG_SENTENCE = 32
-NEIGHBOURS = 6
+#: No piece that is cut inside a sentence is shorter than one word more than this.
+NEIGHBOURS = MIN_WORDS - 1
 
-_LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"\S(?:.*?[.!?](?=\s)|.*)", re.S)
 _WORD = re.compile(r"\S+")
+_BREAK = re.compile(r"\n")
 
 
-def _pieces(text: str, start: int, end: int):
-    """Content-defined cuts of a long sentence: behind each word whose hash is the least within NEIGHBOURS words."""
-    spans = [m.span() for m in _WORD.finditer(text, start, end)]
-    h = [zlib.crc32(text[a:b].lower().encode("utf-8", "surrogatepass")) for a, b in spans]
-    first = 0
-    for k in range(len(spans)):
-        lo, hi = max(0, k - NEIGHBOURS), k + NEIGHBOURS + 1
-        if h[k] == min(h[lo:hi]) and h[k] not in h[lo:k] and k + 1 < len(spans) and k >= first:
-            yield spans[first][0], spans[k][1]
-            first = k + 1
-    if first < len(spans):
-        yield spans[first][0], spans[-1][1]
+@lru_cache(1 << 16)
+def _word_hash(w: str) -> int:
+    return zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))
+
+
+def _cuts(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The last word of each piece: where a sentence ends, and each inner word whose hash is the least within NEIGHBOURS
+    words; of equal ones the first. Inner words have that many words of their sentence before and more behind them."""
+    last = np.flatnonzero(ends)
+    first = np.concatenate([[0], last[:-1] + 1])
+    sentence = np.repeat(np.arange(len(last)), last - first + 1)
+    k = np.arange(len(h))
+    k = k[(k - first[sentence] >= NEIGHBOURS) & (last[sentence] - k > NEIGHBOURS)]
+    for i in range(1, NEIGHBOURS + 1):
+        k = k[(h[k] < h[k - i]) & (h[k] <= h[k + i])]
+    cuts = ends.copy()
+    cuts[k] = True
+    return np.flatnonzero(cuts)
+
+
+def _ranges(last: np.ndarray) -> list[tuple[int, int]]:
+    ends = (last + 1).tolist()
+    return list(zip([0, *ends[:-1]], ends, strict=True))
 
 
 def units(text: str):
-    """Units of a text in order: (start, end, normalised words)."""
-    for line in _LINE.finditer(text):
-        a, b = line.span()
-        w = line[0].lower().split()
-        if len(w) <= LONG_LINE:
-            if w:
-                yield a, b, w
-            continue
-        for m in _SENTENCE.finditer(text, a, b):
-            s, e = m.span()
-            w = m[0].lower().split()
-            if len(w) <= LONG_SENTENCE:
-                yield s, e, w
-            else:
-                for s, e in _pieces(text, s, e):
-                    yield s, e, text[s:e].lower().split()
+    """Units of a text by start and end: (start, end, normalised words)."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    if not spans:
+        return
+    words = [text[a:b] for a, b in spans]
+    h = np.fromiter(map(_word_hash, words), np.int64, len(words))
+    ends = np.fromiter((w[-1] in ".!?" for w in words), bool, len(words))
+    ends[-1] = True
+    found = _ranges(_cuts(h, ends))
+    lines = ends & False
+    lines[-1] = True
+    breaks = np.searchsorted([a for a, _ in spans], [m.start() for m in _BREAK.finditer(text)]) - 1
+    lines[breaks[breaks >= 0]] = True
+    if (lines & ~ends).any():
+        alone = _cuts(h, ends | lines)
+        found = sorted({*found, *_ranges(alone)})
+    else:
+        alone = np.array([b - 1 for _, b in found])
+    # Lines of short sentences only.
+    longest = np.maximum.reduceat(np.diff(alone, prepend=-1), np.searchsorted(alone, np.concatenate([[0], np.flatnonzero(lines)[:-1] + 1])))
+    short = [(a, b) for (a, b), n in zip(_ranges(np.flatnonzero(lines)), longest.tolist(), strict=True) if n < MIN_WORDS <= b - a <= LONG_LINE]
+    if short:
+        found = sorted({*found, *short})
+    for i, j in found:
+        yield spans[i][0], spans[j - 1][1], " ".join(words[i:j]).lower().split()
 
 
 def digest128(words: list[str]) -> tuple[int, int]:
@@ -74,12 +99,16 @@ def text_key(text: str) -> int:
 
 
 def fresh_units(text: str):
-    """Units of a text with their digests: (unit, start, end, words, digest, whether it stood earlier in the text)."""
-    seen: set = set()
+    """Units of a text with their digests: (unit, start, end, words, digest, whether it stood earlier in the text).
+
+    A unit that overlaps the first unit of the same words is left out: that one is kept.
+    """
+    seen: dict = {}
     for k, (a, b, w) in enumerate(units(text)):
         d = digest128(w)
-        yield k, a, b, len(w), d, d in seen
-        seen.add(d)
+        if a >= seen.get(d, 0):
+            yield k, a, b, len(w), d, d in seen
+            seen.setdefault(d, b)
 
 
 def hashed_units(docs: DataFrame) -> DataFrame:
@@ -112,9 +141,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     return every.join(first, ["hi", "lo"]).where(F.col("keep") < rank).select("doc_id", "key", "unit", keep_doc)
 
 
+def _whole(text: str, a: int, b: int) -> bool:
+    """Whether a span starts and ends with a line or sentence."""
+    while a and text[a - 1].isspace() and text[a - 1] != "\n":
+        a -= 1
+    if a and text[a - 1] not in "\n.!?":
+        return False
+    end = b
+    while end < len(text) and text[end].isspace() and text[end] != "\n":
+        end += 1
+    return end == len(text) or text[end] == "\n" or text[b - 1] in ".!?"
+
+
 def removal(text: str, later: dict[int, int], doc_id: int | None, min_words: int) -> tuple[str, list[tuple[int, int]], set]:
     """The text without its repeated units, the removed spans and the documents that keep them."""
-    runs: list[list] = []  # last unit, start, end, largest unit in words, keepers
+    runs: list[list] = []  # start, end, largest unit in words, keepers
     keepers: dict = {}
     for k, a, b, n, d, again in fresh_units(text):
         if k in later:
@@ -122,18 +163,18 @@ def removal(text: str, later: dict[int, int], doc_id: int | None, min_words: int
         elif not again:
             continue
         keeper = keepers.get(d, doc_id)
-        if runs and k == runs[-1][0] + 1:
+        if runs and (a <= runs[-1][1] or text[runs[-1][1] : a].isspace()):
             x = runs[-1]
-            x[0], x[2], x[3] = k, b, max(x[3], n)
-            x[4].add(keeper)
+            x[1], x[2] = max(x[1], b), max(x[2], n)
+            x[3].add(keeper)
         else:
-            runs.append([k, a, b, n, {keeper}])
-    runs = [x for x in runs if x[3] >= min_words]
+            runs.append([a, b, n, {keeper}])
+    runs = [x for x in runs if x[2] >= min_words and (_whole(text, x[0], x[1]) or len(text[x[0] : x[1]].split()) >= 2 * min_words)]
     kept, at = [], 0
-    for _, a, b, _, _ in runs:
+    for a, b, _, _ in runs:
         kept.append(text[at:a])
         at = b + (text[b : b + 1] == "\n")
-    return "".join([*kept, text[at:]]), [(a, b) for _, a, b, _, _ in runs], {d for x in runs for d in x[4]}
+    return "".join([*kept, text[at:]]), [(a, b) for a, b, _, _ in runs], {d for x in runs for d in x[3]}
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -294,6 +294,42 @@ def test_lines_keep_the_first_and_catch_unaligned_passages(spark):
         assert sum(b - a for a, b in spans) == r["removed_chars"] and len(spans) == r["n_removed"]
 
 
+def test_lines_catch_short_passages_mid_sentence_and_rewrapped(spark):
+    rnd = random.Random(21)
+    word = lambda: f"{rnd.choice(['lorem', 'ipsum', 'dolor', 'amet', 'elit'])}{rnd.randrange(10**9)}"
+    say = lambda n: [word() for _ in range(n)]
+    made, shared = [], []
+    for k in range(40):
+        w = say(51 + k % 10)
+        for at in range(25, len(w), rnd.randrange(12, 40)):
+            w[at] += "."
+        wrap, own = 8 + k % 17, say(6)
+        there = own + w + say(6)
+        other = "\n".join(" ".join(there[i : i + wrap]) for i in range(0, len(there), wrap)) if k % 2 else " ".join(say(30 + k % 7) + w + say(9))
+        made += [" ".join(say(k % 7) + w + say(5)), other]
+        shared.append(set(w))
+    # The last words of one sentence and the first of the next, with up to 6 own words beside them.
+    w = say(26)
+    w[-1] += "."
+    w += say(26)
+    made += [" ".join(say(6) + w + say(6)), " ".join(say(4) + w + say(5))]
+    shared.append(set(w))
+    got = texts(lines.dedup(docs(spark, *made)))
+    gone = []
+    for k, w in enumerate(shared):
+        assert got[2 * k] == made[2 * k]
+        gone.append(len(w - set(got[2 * k + 1].split())))
+        assert set(made[2 * k + 1].split()) - w <= set(got[2 * k + 1].split())
+    assert min(gone) >= 15 and sum(gone) >= 0.6 * sum(map(len, shared))
+
+
+def test_a_repeated_line_goes_whole_beside_other_lines(spark):
+    line, short = "a line without a stop of eleven words as it stands", "Yes. No. Oh well. I see."
+    made = [f"Title one\n{line}\nthen this\n{short}", f"Some other heading\n{line}\nand that\n{short}", f"{short} {line}"]
+    got = texts(lines.dedup(docs(spark, *made)))
+    assert got[0] == made[0] and got[1].split("\n") == ["Some other heading", "and that", ""]
+
+
 def test_lines_tell_null_and_reused_ids_apart_by_text(spark):
     line = "this is the one line that both texts of the pair share"
     made = [(None, f"{line}\nfirst of the texts without an id"), (None, f"{line}\nsecond of the texts without an id")]
