@@ -9,7 +9,9 @@ its linked neighbours), so no pair is ever a row and no group is gathered whole.
 
 Result: one row a document row, with its class (connected by links; the least doc_id names it) and its number of links,
 copies included. Null text or text without words has no shingles: no links, a class of its own. Repeated rows are
-copies of each other. Nodes are named by 64 bits of their set's digest.
+copies of each other. Nodes are named by 64 bits of their set's digest. Rows are told apart by (doc_id, text key), so a
+doc_id may be null or stand on different texts: each such row has the class and links of its own text, and a class that
+has only null ids is named by null.
 """
 
 from __future__ import annotations
@@ -96,12 +98,12 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE) -> DataFrame:
-    """doc_id, node (null without words), bands."""
+    """doc_id, key, node (null without words), bands; docs has doc_id, key, text."""
 
     def make():
         memo, minhash = _WordHashes(), MinHash(bands, rows)
 
-        def f(ids, texts):
+        def f(texts):
             if len(memo) > CACHE:
                 memo.clear()
             nodes, hashes = [], []
@@ -113,11 +115,11 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE) -> D
                 else:
                     nodes.append(None)
                     hashes.append(None)
-            return ids, nodes, hashes
+            return nodes, hashes
 
         return f
 
-    return map_columns(docs, ["doc_id", "text"], "doc_id long, node long, bands array<long>", make)
+    return map_columns(docs, ["text"], "node long, bands array<long>", make, ("doc_id", "key"))
 
 
 def _verified(nodes: list[int], copies: list[int], sets: list[np.ndarray], left: list[bool], right: list[bool], threshold: float):
@@ -202,11 +204,21 @@ def shingle_sets(docs: DataFrame, columns: list[str], kinds: str, size: int = SH
     return map_columns(docs, ["text", *columns], f"{kinds}, shingles binary", make)
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
-    """doc_id, class_id, n_links of every document row."""
+PLACE = ["void", "id", "key"]
+
+
+def _place(doc_id, key) -> list:
+    """Columns PLACE, without nulls: what tells rows apart. Rows with a null doc_id come last."""
+    return [F.isnull(doc_id).alias("void"), F.coalesce(doc_id, F.lit(0)).cast("long").alias("id"), F.col(key).alias("key")]
+
+
+def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
+    """doc_id, key, keeper (PLACE of the row that names the class; null without words), n_links of every document row."""
     bands, rows = banding(threshold, recall)
-    signed = written(signatures(docs, bands, rows, size))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    signed = written(signatures(keyed, bands, rows, size))
+    first = F.min(F.struct(*_place("doc_id", "key"))).alias("first")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), first)
     dealt = signed.where("node is not null").select("node", F.explode("bands").alias("h"))
     buckets = dealt.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     buckets = buckets.where("least < most").select("h", "least")
@@ -214,9 +226,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     candidates = connected(stars, "node", "least")
     sizes = candidates.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     chosen = cut(candidates.join(sizes, "label").join(nodes, "node"))
-    # One text for each candidate node.
-    texts = docs.select("doc_id", "text").join(
-        chosen.withColumnRenamed("first", "doc_id"), "doc_id"
+    # One text for each candidate node: its first row, once.
+    texts = (
+        keyed.select(*_place("doc_id", "key"), "text")
+        .join(chosen.select("first.*", "label", "blocks", "node", "copies"), PLACE)
+        .dropDuplicates(PLACE)
     )
     sets = shingle_sets(texts, ["label", "blocks", "node", "copies"], "label long, blocks int, node long, copies long", size)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -234,17 +248,30 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         nodes.join(links, "node", "left").join(classes, "node", "left")
         .select("node", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
     )
-    least = named.groupBy("label").agg(F.min("first").alias("class_id"))
-    known = named.join(least, "label").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "node").join(known, "node", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    least = named.groupBy("label").agg(F.min("first").alias("keeper"))
+    known = named.join(least, "label").select("node", "keeper", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return signed.select("doc_id", "key", "node").join(known, "node", "left").select(
+        "doc_id", "key", "keeper", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
+    """doc_id, class_id, n_links of every document row."""
+    named = F.when(F.col("keeper.void"), F.lit(None)).otherwise(F.coalesce("keeper.id", "doc_id")).alias("class_id")
+    return _classed(docs, threshold, recall, size).select("doc_id", named, "n_links")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their class; all columns as they were. Rows without a doc_id stay."""
-    named = join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that name their class; all columns as they were.
+
+    The least doc_id stays, of rows that share it the one with the least text key; a row without a doc_id stays only
+    where its class has no other. Rows that repeat both id and text stay alike.
+    """
+    rows = _classed(docs).where("keeper is not null").select(*_place("doc_id", "key"), "keeper")
+    gone = rows.where(F.struct(*PLACE) != F.col("keeper")).select(*PLACE).distinct()
+    told = docs.withColumn("__key", F.xxhash64("text")).alias("d")
+    on = (F.isnull("d.doc_id") == F.col("g.void")) & (F.coalesce("d.doc_id", F.lit(0)) == F.col("g.id")) & (F.col("d.__key") == F.col("g.key"))
+    return told.join(gone.alias("g"), on, "left_anti").select(*docs.columns)
 
 
 SQL = r"""

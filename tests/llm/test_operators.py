@@ -199,6 +199,19 @@ def test_jaccard_against_all_pairs(spark):
     assert kept == set(group)
 
 
+def test_jaccard_tells_null_and_reused_ids_apart_by_text(spark):
+    words = [f"word{k}" for k in range(60)]
+    near = lambda k: " ".join([*words[:59], f"own{k}"])
+    lone = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    # Null ids on near copies; id 2 on a near copy and on a text of its own; a class without ids.
+    made = [(None, near(0)), (None, near(1)), (1, near(2)), (2, near(3)), (2, lone("x")), (None, lone("y")), (None, lone("y") + " z")]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in jaccard.join(d).collect())
+    assert got == sorted([(0, 1, 3), (0, 1, 3), (1, 1, 3), (2, 1, 3), (2, 2, 0), (0, 0, 1), (0, 0, 1)])
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(d).collect()]
+    assert len(kept) == 3 and {(1, near(2)), (2, lone("x"))} < set(kept) and sum(t.startswith("y0") for _, t in kept) == 1
+
+
 def test_blocks_of_a_component_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     test_jaccard_against_all_pairs(spark)
