@@ -296,3 +296,10 @@ def test_graph_with_shared_result_under_other_partitioning(spark):
         assert triples(closure(normalize(Graph(g.nodes, g.edges.repartition(3))))) == a
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_core_mapping_searches_whole_chains_and_ends_on_cycles(spark):
+    supers = [(f"P{k}", [f"P{k + 1}"]) for k in range(12)] + [("P12", [])] + [("Q1", ["Q2"]), ("Q2", ["Q1"])]
+    table = spark.createDataFrame([("P12", "top", False)], "id string, relation string, flipped boolean")
+    got = retrieve.core_mapping(spark.createDataFrame(supers, "id string, super array<string>"), table).collect()
+    assert {r["id"]: (r["relation"], r["distance"]) for r in got} == {f"P{k}": ("top", 12 - k) for k in range(13)}
