@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
-Stages return the columns of documents, the last one packed pieces. What a stage decides takes effect:
+Stages return the columns of documents, the last one packed pieces; other columns of their input are not carried. An
+empty table passes through every stage as one. What a stage decides takes effect:
   language_id        documents whose language is ``und`` or scored below ``MIN_SCORE`` go
-  ngram_jaccard      one document of each class stays, the one with the least doc_id
+  ngram_jaccard      one document of each class stays, the one with the least doc_id; of equal rows one
   decontaminate      documents that hold a benchmark window go
   secrets            secrets are replaced in the text; the document stays
   packing            the rest is packed into sequences
@@ -10,14 +11,13 @@ Stages return the columns of documents, the last one packed pieces. What a stage
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.llm import decontam, jaccard, langid, packing, secrets
-from kgspark.llm._common import shared_dir, table
+from kgspark.llm._common import table
 from kgspark.llm.queries import tokenizer_path
+from kgspark.plans.graph import clear, cut, cuts_made
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_SCORE = 0.3
@@ -57,11 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. Each stage's output is a table of its own; what a stage made on its way there is deleted."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        made = cuts_made()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = cut(docs)
+            clear(spark, made, cuts_made() - 1)
     return docs

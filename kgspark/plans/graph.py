@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,37 +67,74 @@ def content_id(prefix: str, *columns: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x01", *columns), 256), 1, 24))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; a temporary folder only where none is named."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for reliable checkpoints, as the session names it; a temporary one only where everything runs on one
+    machine. On a cluster a folder that executors don't share would lose rows, so there it has to be named."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    where = sc._jsc.sc().getCheckpointDir()
+    if where.isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kgspark-checkpoint-"))
-    return df.checkpoint()
+        where = sc._jsc.sc().getCheckpointDir()
+    return where.get()
+
+
+_cuts: list[str] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A Parquet copy in the shared folder: lineage ends there, and plans see its true size.
+
+    (A checkpoint keeps the size that was guessed for its plan; over the rounds of a fixpoint such guesses multiply.)
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _cuts.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cuts_made() -> int:
+    return len(_cuts)
+
+
+def clear(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Deletes what ``cut`` has left in the shared folder, all of it or the copies from ``first`` to before ``last`` (as
+    ``cuts_made`` counts them): to be called when the results made from it are written or no longer needed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _cuts[first:last]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del _cuts[first:last]
 
 
 def components(edges: DataFrame, a: str = "source", b: str = "target") -> DataFrame:
     """Undirected components of an edge list: (id, component), the component named by its least id.
 
-    Each node first keeps its edge to its least neighbour and ties its other lesser neighbours to that one, so dense
-    groups shrink to about an edge a node. Then least labels move along edges and jump to their label's label; rounds
-    grow with the logarithm of the diameter.
+    By contraction: each node points to its least neighbour where that is less than itself, follows the pointer once
+    more, and edges are renamed by where their ends point, until no edge is left. A node's least neighbour combines
+    before it moves, so a hub is a row a partition; edges and nodes shrink each round, and the pointers of all rounds
+    are followed at the end, from the smallest table to the largest. Nulls and self loops are dropped.
     """
-    down = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("a"), F.col(b).alias("b"))
-    down = cut(down.where("a is not null and b is not null and u <> v").select("u", "v").distinct())
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    both = least.select("u", F.col("m").alias("v")).union(tied)
-    both = cut(both.union(both.select("v", "u")).distinct())
-    now = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("component")))
-    while True:
-        near = both.join(now.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        jump = now.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        step = cut(
-            now.join(near, "id").join(jump, "component", "left")
-            .select("id", F.col("component").alias("was"), F.least("component", "near", F.coalesce("jump", "component")).alias("component"))
-        )
-        now = step.select("id", "component")
-        if step.where("component <> was").isEmpty():
-            return now
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    now = cut(ends.union(ends.select("v", "u")).distinct())
+    levels: list[DataFrame] = []
+    while not now.isEmpty():
+        least = cut(now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("p")))
+        hop = least.select(F.col("id").alias("p"), F.col("p").alias("up"))
+        # A pointer leads to a node of this round, so every one finds its next.
+        level = cut(least.join(hop, "p").select("id", "up"))
+        levels.append(level)
+        one, two = level.select(F.col("id").alias("u"), F.col("up").alias("x")), level.select(F.col("id").alias("v"), F.col("up").alias("y"))
+        renamed = now.join(one, "u").join(two, "v").where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        now = cut(renamed.distinct())
+    if not levels:
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    named = levels.pop().withColumnRenamed("up", "component")
+    while levels:
+        top = named.select(F.col("id").alias("up"), "component")
+        named = cut(levels.pop().join(top, "up", "left").select("id", F.coalesce("component", "up").alias("component")))
+    return named
