@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+from kgspark.plans.graph import components, cut
+
+__all__ = ["connected", "cut", "map_columns", "table", "worker_state"]
+
+#: Rows of a batch that are Python objects at one time. Batches themselves are bounded by bytes, by Spark
+#: (spark.sql.execution.arrow.maxBytesPerBatch).
+SLICE = 512
 _ARROW = {
     "long": pa.int64(),
     "int": pa.int32(),
@@ -29,31 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees, as the session names it; a temporary one only where unset."""
-    sc = spark.sparkContext
-    where = sc._jsc.sc().getCheckpointDir()
-    if where.isDefined():
-        return where.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kgspark-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a small intermediate result, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """A Parquet copy in the shared folder, for wide intermediate results that are read more than once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable], carry: tuple[str, ...] = ()) -> DataFrame:
     """Applies a row-block function inside Arrow batches.
 
@@ -69,60 +48,29 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 out = f(*(c.to_pylist() for c in part.columns[:inputs]))
                 kept = part.columns[inputs:]
                 made = [pa.array(v, t.type) for v, t in zip(out, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=[*carry, *(t.name for t in fields)])
 
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH) == "10000":  # Spark's default; texts are long, and each task holds a batch on both sides
-        conf.set(_BATCH, "1000")
     given = df.select(*columns, *(F.col(c).alias(f"__carry_{k}") for k, c in enumerate(carry)))
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carry)
     return given.mapInArrow(run, kinds + schema)
 
 
-def worker_state(key: str, make: Callable[[], object]) -> object:
-    """What a Python worker keeps between the tasks it runs, such as a loaded tokenizer and its remembered words."""
-    import sys
-    import types
+_held: dict[str, tuple[str, object]] = {}
 
-    held = sys.modules.setdefault("_kgspark_worker_state", types.ModuleType("_kgspark_worker_state"))
-    if not hasattr(held, key):
-        setattr(held, key, make())
-    return getattr(held, key)
 
+def worker_state(what: str, name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between the tasks it runs, such as a loaded tokenizer and its remembered words: one
+    thing of each kind, made anew where another one is named."""
+    if what not in _held or _held[what][0] != name:
+        _held[what] = name, make()
+    return _held[what][1]
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected edge list: rows (node, label), label the least node of each component.
 
-    First, each node keeps one edge, to its least neighbour, and its other lesser neighbours are tied to that one:
-    dense groups shrink to about an edge a node. Then minimum labels travel along edges and jump to their own label's
-    label, so that the number of rounds is logarithmic in practice. Every round is two joins on unique label keys and
-    one combinable aggregate; no group is gathered in a task. Nulls and self loops are dropped.
-    """
-    down = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a), F.col(b)).where(F.col(a) != F.col(b))
-    down = cut(down.select("u", "v").distinct())
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    both = least.select("u", F.col("m").alias("v")).union(tied.distinct())
-    both = cut(both.union(both.select("v", "u")).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "v"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("hop"))
-        step = (
-            labels.join(near, "node")
-            .join(hop, "label", "left")
-            .select("node", F.col("label").alias("was"), F.least("label", "near", F.coalesce("hop", "label")).alias("label"))
-        )
-        step = cut(step)
-        labels = step.select("node", "label")
-        if step.where("label <> was").isEmpty():
-            return labels
+def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components of an undirected edge list: rows (node, label), label the least node of each component."""
+    return components(edges, a, b).select(F.col("id").alias("node"), F.col("component").alias("label"))

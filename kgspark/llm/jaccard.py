@@ -1,17 +1,23 @@
 """N-gram Jaccard join by MinHash banding.
 
 Shingles are runs of ``SHINGLE`` words (lower-cased letters, digits and non-ASCII characters); a shorter text is one
-shingle. Documents with equal shingle sets are one node. Bands and rows are chosen for a target recall at the
-threshold; band hashes are shuffled, nodes that share one are candidates, and pairs are verified on their full shingle
-sets. Candidates are verified in blocks: candidate components are cut into blocks of at most about ``BLOCK`` nodes and
-each pair of blocks is one unit of work that gives back one row a node (its number of links and a representative of
-its linked neighbours), so no pair is ever a row and no group is gathered whole.
+shingle. Documents with equal shingle sets are one node, named by 128 bits of the set's digest. Bands and rows are
+chosen for a target recall at the threshold. Nodes that share a band hash are in one bucket, and pairs are verified on
+their full shingle sets:
+
+* Every node is dealt to a group, named by the least node that it shares a bucket with; a group is cut into blocks of
+  about ``BLOCK`` nodes.
+* Two blocks that meet in some bucket are one unit of work, and so is a block with itself. A unit holds the nodes that
+  stand in such a bucket, once each, so what moves follows the buckets and not the square of a chain of them; only a
+  dense group of near copies is compared all with all, block by block.
+* A unit gives one row a node, its number of links and a representative of its linked neighbours. No pair is ever a
+  row, and no bucket or group is gathered in a task. As each node has one block, no pair is met in two units.
 
 Result: one row a document row, with its class (connected by links; the least doc_id names it) and its number of links,
-copies included. Null text or text without words has no shingles: no links, a class of its own. Repeated rows are
-copies of each other. Nodes are named by 64 bits of their set's digest. Rows are told apart by (doc_id, text key), so a
-doc_id may be null or stand on different texts: each such row has the class and links of its own text, and a class that
-has only null ids is named by null.
+copies included. Null, empty and wordless texts have no shingles: no links, a class of its own. Repeated rows are copies
+of each other. A very long text is one set of 8 bytes a word. Rows are told apart by (doc_id, text key), so a doc_id may
+be null or stand on different texts: each such row has the class and links of its own text, and a class that has only
+null ids is named by null. An empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import connected, cut, map_columns, written
+from kgspark.llm._common import connected, cut, map_columns
 from kgspark.llm.decontam import words
 
 SHINGLE = 5
@@ -34,6 +40,8 @@ HASHES = 350
 BLOCK = 192
 #: Words whose hashes a task remembers.
 CACHE = 200_000
+#: A node that has one of so many rows, or more, is hot: there are at most so many of them, whatever the table.
+HOT_SHARE = 1000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -110,7 +118,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE) -> D
             for t in texts:
                 s = shingles(t, memo, size)
                 if len(s):
-                    nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                    nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     hashes.append(minhash.bands(s))
                 else:
                     nodes.append(None)
@@ -119,23 +127,23 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int = SHINGLE) -> D
 
         return f
 
-    return map_columns(docs, ["text"], "node long, bands array<long>", make, ("doc_id", "key"))
+    return map_columns(docs, ["text"], "node binary, bands array<long>", make, ("doc_id", "key"))
 
 
-def _verified(nodes: list[int], copies: list[int], sets: list[np.ndarray], left: list[bool], right: list[bool], threshold: float):
-    """Rows (node, links, root) of one pair of blocks; left and right say in which block a node is."""
-    k = len(nodes)
+def _verified(copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each node of a unit. Side is 0 or 1 for two blocks, of which only pairs across count, or 2 for
+    a block with itself; root is the least place among the node and what it is linked to, over any number of links."""
+    k = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    both = np.concatenate(sets)
     owner = np.repeat(np.arange(k), sizes)
-    values, place, count = np.unique(both, return_inverse=True, return_counts=True)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
     column = np.cumsum(shared) - 1
     keep = shared[place]
     owner, place = owner[keep], column[place[keep]]
-    common = np.zeros((k, k), np.int64)
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
+    common = np.zeros((k, k), np.int64)
     width = max(1, 8_000_000 // k)
     total = int(shared.sum())
     for at in range(0, total, width):
@@ -144,50 +152,48 @@ def _verified(nodes: list[int], copies: list[int], sets: list[np.ndarray], left:
         m[owner[lo:hi], place[lo:hi] - at] = 1
         common += np.rint(m @ m.T).astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - common
-    a, b = np.array(left), np.array(right)
-    linked = (common >= threshold * union - 1e-9) & ((a[:, None] & b[None, :]) | (b[:, None] & a[None, :]))
+    linked = (common >= threshold * union - 1e-9) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
     np.fill_diagonal(linked, False)
-    links = linked @ np.array(copies, np.int64)
-    ids = np.array(nodes, np.int64)
     root = np.arange(k)
     while True:
         near = np.minimum(root, np.where(linked, root[None, :], k).min(axis=1, initial=k))
         near = near[near]
         if (near == root).all():
-            break
+            return linked @ copies, root
         root = near
-    return ids, links, ids[root]
 
 
-def verify(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows node, links, root; input rows: label, i, j, block, node, copies, shingles (sorted within partitions)."""
-    out = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+def verify(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows node, links, root; input rows: a, b (blocks), side, node, copies, shingles, with units whole and in a row."""
+    out = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def run(batches):
         key, group = None, {}
 
         def close():
-            if len(group) < 2:
+            nodes = list(group)
+            rows = list(group.values())
+            if len(rows) < 2:
                 return None
-            rows = list(group.items())
-            ids, links, root = _verified(
-                [n for n, _ in rows], [r[1] for _, r in rows], [np.frombuffer(r[2], np.uint64) for _, r in rows],
-                [r[0] == key[1] for _, r in rows], [r[0] == key[2] for _, r in rows], threshold,
+            links, root = _verified(
+                np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[0] for r in rows]), threshold
+            )
+            hit = np.flatnonzero(links)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([nodes[k] for k in hit], pa.binary()), pa.array(links[hit]), pa.array([nodes[root[k]] for k in hit], pa.binary())], schema=out
             )
-            hit = links > 0
-            return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (ids, links, root)], schema=out)
 
         for batch in batches:
-            for label, i, j, block, node, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (label, i, j):
+            for a, b, side, node, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (a, b):
                     if (made := close()) is not None:
                         yield made
-                    key, group = (label, i, j), {}
-                group[node] = (block, copies, data)
+                    key, group = (a, b), {}
+                group[node] = (side, copies, data)
         if (made := close()) is not None:
             yield made
 
-    return blocks.select("label", "i", "j", "block", "node", "copies", "shingles").mapInArrow(run, "node long, links long, root long")
+    return units.select("a", "b", "side", "node", "copies", "shingles").mapInArrow(run, "node binary, links long, root binary")
 
 
 def shingle_sets(docs: DataFrame, columns: list[str], kinds: str, size: int = SHINGLE) -> DataFrame:
@@ -205,43 +211,47 @@ def shingle_sets(docs: DataFrame, columns: list[str], kinds: str, size: int = SH
 
 
 PLACE = ["void", "id", "key"]
+#: A character that is part of a word.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def _place(doc_id, key) -> list:
     """Columns PLACE, without nulls: what tells rows apart. Rows with a null doc_id come last."""
-    return [F.isnull(doc_id).alias("void"), F.coalesce(doc_id, F.lit(0)).cast("long").alias("id"), F.col(key).alias("key")]
+    return [F.isnull(doc_id).alias("void"), F.coalesce(doc_id, F.lit(0)).cast("long").alias("id"), (F.col(key) if isinstance(key, str) else key).alias("key")]
+
+
+def units_of(dealt: DataFrame) -> DataFrame:
+    """Rows a, b, side, node: which nodes meet in which unit of work; dealt has (node, h), h a band hash."""
+    dealt = dealt.repartition("h")
+    buckets = dealt.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    met = cut(dealt.join(buckets.select("h", "least"), "h"))
+    groups = met.groupBy("node").agg(F.min("least").alias("lead"))
+    parts = groups.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    block = F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts")))
+    blocks = groups.join(parts, "lead").select("node", block.alias("block"))
+    placed = cut(met.select("h", "node").join(blocks, "node"))
+    present = placed.groupBy("h", "block").agg(F.count("*").alias("n"))
+    here, there = placed.alias("x"), present.alias("y")
+    pairs = here.join(there, F.col("x.h") == F.col("y.h")).where("x.block <> y.block or y.n > 1")
+    mine, other = F.col("x.block"), F.col("y.block")
+    side = F.when(mine == other, 2).otherwise(F.when(mine < other, 0).otherwise(1))
+    return pairs.select(F.least(mine, other).alias("a"), F.greatest(mine, other).alias("b"), side.alias("side"), F.col("x.node").alias("node")).distinct()
 
 
 def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
     """doc_id, key, keeper (PLACE of the row that names the class; null without words), n_links of every document row."""
     bands, rows = banding(threshold, recall)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    signed = written(signatures(keyed, bands, rows, size))
+    signed = cut(signatures(keyed, bands, rows, size))
     first = F.min(F.struct(*_place("doc_id", "key"))).alias("first")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), first)
-    dealt = signed.where("node is not null").select("node", F.explode("bands").alias("h"))
-    buckets = dealt.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    buckets = buckets.where("least < most").select("h", "least")
-    stars = dealt.join(buckets, "h").where("node <> least").select("node", "least").distinct()
-    candidates = connected(stars, "node", "least")
-    sizes = candidates.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    chosen = cut(candidates.join(sizes, "label").join(nodes, "node"))
-    # One text for each candidate node: its first row, once.
-    texts = (
-        keyed.select(*_place("doc_id", "key"), "text")
-        .join(chosen.select("first.*", "label", "blocks", "node", "copies"), PLACE)
-        .dropDuplicates(PLACE)
-    )
-    sets = shingle_sets(texts, ["label", "blocks", "node", "copies"], "label long, blocks int, node long, copies long", size)
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        sets.withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .repartition("label", "i", "j")
-        .sortWithinPartitions("label", "i", "j")
-    )
-    found = cut(verify(dealt, threshold))
+    nodes = cut(signed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), first))
+    meeting = cut(units_of(signed.where("node is not null").select("node", F.explode("bands").alias("h"))))
+    chosen = meeting.select("node").distinct().join(nodes, "node")
+    # One text for each node that meets another: its first row, once.
+    texts = keyed.select(*_place("doc_id", "key"), "text").join(chosen.select("first.*", "node", "copies"), PLACE).dropDuplicates(PLACE)
+    sets = shingle_sets(texts, ["node", "copies"], "node binary, copies long", size)
+    units = meeting.join(sets, "node").repartition("a", "b").sortWithinPartitions("a", "b")
+    found = cut(verify(units, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected(found.where("node <> root"), "node", "root")
     named = (
@@ -249,9 +259,16 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         .select("node", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
     )
     least = named.groupBy("label").agg(F.min("first").alias("keeper"))
-    known = named.join(least, "label").select("node", "keeper", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "key", "node").join(known, "node", "left").select(
-        "doc_id", "key", "keeper", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    known = cut(named.join(least, "label").select("node", "copies", "keeper", (F.col("links") + F.col("copies") - 1).alias("n_links")))
+    worded = signed.select("doc_id", "key", "node").where("node is not null")
+    total = nodes.agg(F.sum("copies")).head()[0] or 0
+    # At most HOT_SHARE nodes can hold that share of all rows.
+    hot = known.where(F.col("copies") * HOT_SHARE > total).where(F.col("copies") > 1)
+    columns = ["doc_id", "key", "keeper", "n_links"]
+    return (
+        worded.join(F.broadcast(hot), "node").select(*columns)
+        .unionByName(worded.join(F.broadcast(hot.select("node")), "node", "left_anti").join(known, "node").select(*columns))
+        .unionByName(signed.where("node is null").select("doc_id", "key", F.lit(None).cast(known.schema["keeper"].dataType).alias("keeper"), F.lit(0).cast("long").alias("n_links")))
     )
 
 
@@ -262,16 +279,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their class; all columns as they were.
+    """One document row of each class; all columns as they were.
 
-    The least doc_id stays, of rows that share it the one with the least text key; a row without a doc_id stays only
-    where its class has no other. Rows that repeat both id and text stay alike.
+    The least doc_id stays, of rows that share it the one with the least text key, and of rows that repeat both any one;
+    a row without a doc_id stays only where its class has no other. Rows without words are classes of their own and stay.
     """
-    rows = _classed(docs).where("keeper is not null").select(*_place("doc_id", "key"), "keeper")
-    gone = rows.where(F.struct(*PLACE) != F.col("keeper")).select(*PLACE).distinct()
-    told = docs.withColumn("__key", F.xxhash64("text")).alias("d")
-    on = (F.isnull("d.doc_id") == F.col("g.void")) & (F.coalesce("d.doc_id", F.lit(0)) == F.col("g.id")) & (F.col("d.__key") == F.col("g.key"))
-    return told.join(gone.alias("g"), on, "left_anti").select(*docs.columns)
+    keepers = _classed(docs).where("keeper is not null").select("keeper.*").distinct()
+    told = docs.select(*(F.col(c).alias(f"__d{k}") for k, c in enumerate(docs.columns)), *_place(docs["doc_id"], F.xxhash64(docs["text"])))
+    one = told.join(keepers, PLACE, "left_semi").dropDuplicates(PLACE)
+    text = f"__d{docs.columns.index('text')}"
+    wordless = told.where(F.col(text).isNull() | ~F.col(text).rlike(WORD))
+    return one.unionByName(wordless).select(*(F.col(f"__d{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 SQL = r"""
