@@ -1,13 +1,16 @@
 """Chat formatting from event logs.
 
-Events (conv_id, seq, message_id, op, role, text) are folded into final messages: ``delta`` appends, ``edit`` replaces,
-``regenerate`` discards what was streamed so far, ``delete`` takes the message out unless later events bring it back.
-The fold runs by message, so a conversation that holds a third of all events is spread; rendering is row by row. Only
-the reading back of a conversation goes through its messages in order, as a stream that keeps two running digests.
-
-Messages stand in the order of their first event (ties: message_id). Nulls: text and role read as empty, a null conv_id
-is a conversation of its own, null seq sorts first. Events of equal seq in a message apply in the order edit,
-regenerate, delta, delete and then by text. Repeated events apply repeatedly.
+Events (conv_id, seq, message_id, op, role, text) are dealt to tasks by conversation, once, and sorted by message and
+sequence there; one pass folds each message's events: ``delta`` appends, ``edit`` replaces, ``regenerate`` discards what
+was streamed so far, ``delete`` empties the message and takes it out unless later events bring it back. The messages go
+on in conversation order, are rendered row by row, and can be read back, all without another exchange. A task holds one
+message at a time, and a conversation is a stream through it, so the length of a conversation costs time but no memory.
+
+Messages stand in the order of their first event (ties: message_id, role, text). An event without a message_id is a
+message of its own, and equal ones are messages each. Events of one message that are equal in every field are one event
+that was sent again. Events of equal seq apply in the order edit, regenerate, delta, delete, then by role and text; an unknown
+op counts as delta. The role is the first that is named. Nulls: text and role read as empty, a null conv_id is a
+conversation of its own, null seq sorts first. An empty table gives an empty result; other columns are not read.
 
 Template: ``<|turn|>role<|text|>text<|end|>``. In role and text, a backslash precedes every backslash and every
 ``<|``; taking away the first of each such pair gives the original back.
@@ -20,10 +23,11 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-OPS = ("edit", "regenerate", "delta", "delete")
+EDIT, REGENERATE, DELTA, DELETE = OPS = ("edit", "regenerate", "delta", "delete")
 _BODY = r"((?:[^\\<]|\\[\s\S]|<(?!\|))*)"
 _PARSE = re.compile(re.escape(TURN) + _BODY + re.escape(TEXT) + _BODY + re.escape(END))
 _UNESCAPE = re.compile(r"\\([\s\S])")
@@ -37,31 +41,66 @@ def unescaped(s: str) -> str:
     return _UNESCAPE.sub(r"\1", s) if "\\" in s else s
 
 
+_MESSAGE = pa.schema(
+    [("conv_id", pa.int64()), ("first", pa.int64()), ("message_id", pa.string()), ("role", pa.string()), ("text", pa.string())]
+)
+#: Characters of folded text that a task holds before it hands them on.
+FLUSH = 4_000_000
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages: conv_id, first (seq of the first event), message_id, role, text."""
-    keys = ["conv_id", "message_id"]
+    """Final messages: conv_id, first (seq of the first event), message_id, role, text; whole conversations in order."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, OPS)), F.col("op")), F.lit(0))
     e = events.select(
-        *keys, "seq", F.array_position(F.array(*map(F.lit, OPS)), F.col("op")).alias("rank"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.col("message_id").cast("string").alias("message_id"),
+        F.when(rank > 0, rank).otherwise(OPS.index(DELTA) + 1).cast("int").alias("rank"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("at", F.struct("seq", "rank"))
-    marks = e.groupBy(*keys).agg(
-        F.min("seq").alias("first"),
-        F.max(F.when(F.col("rank") <= 2, F.col("at"))).alias("reset"),
-        F.max(F.when(F.col("rank") == 4, F.col("at"))).alias("gone"),
-        F.max(F.when(F.col("rank") < 4, F.col("at"))).alias("alive"),
-        F.max("role").alias("role"),
-    )
-    marks = marks.where(F.col("gone").isNull() | (F.col("alive") > F.col("gone")))
-    m, x = marks.alias("m"), e.alias("x")
-    same = F.col("m.conv_id").eqNullSafe(F.col("x.conv_id")) & F.col("m.message_id").eqNullSafe(F.col("x.message_id"))
-    live = (
-        x.join(m, same)
-        .where((F.col("x.rank") < 4) & (F.col("m.reset").isNull() | (F.col("x.at") >= F.col("m.reset"))))
-        .select("x.conv_id", "x.message_id", "m.first", "m.role", F.struct("x.seq", "x.rank", "x.text").alias("part"))
+    ).repartition("conv_id")
+    # Clustered by conversation already, so the window brings no exchange.
+    lone = F.col("message_id").isNull()
+    first = F.min("seq").over(W.partitionBy("conv_id", "message_id", F.when(lone, F.col("seq"))))
+    ordered = e.withColumn("first", F.when(lone, F.col("seq")).otherwise(first)).sortWithinPartitions("conv_id", "first", "message_id", "seq", "rank", "role", "text")
+
+    def run(batches):
+        done: list[tuple] = []
+        size = 0
+        key = last = None
+        role, parts, alive = "", [], False
+
+        def close():
+            nonlocal size
+            if key is not None and alive:
+                text = "".join(parts)
+                size += len(text)
+                done.append((*key, role, text))
+
+        for batch in batches:
+            for conv, first, message, seq, rank, who, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                event = (seq, rank, who, text)
+                if message is None or key != (conv, first, message):
+                    close()
+                    key, role, parts, alive = (conv, first, message), "", [], False
+                elif event == last:
+                    continue
+                last = event
+                role = role or who
+                op = OPS[rank - 1]
+                if op != DELTA:
+                    parts.clear()
+                alive = op != DELETE
+                if alive:
+                    parts.append(text)
+                if size > FLUSH or len(done) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done, strict=True), _MESSAGE, strict=True)], schema=_MESSAGE)
+                    done.clear()
+                    size = 0
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done, strict=True), _MESSAGE, strict=True)], schema=_MESSAGE)
+
+    return ordered.select("conv_id", "first", "message_id", "seq", "rank", "role", "text").mapInArrow(
+        run, "conv_id long, first long, message_id string, role string, text string"
     )
-    return live.groupBy("conv_id", "message_id", "first", "role").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["text"]), "").alias("text")
-    ).select("conv_id", "first", "message_id", "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -87,7 +126,11 @@ _READ = pa.schema(
 
 
 def read_back(chunks: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed from its formatted chunks; a stream, so memory follows one batch."""
+    """Digests of each conversation, parsed from its formatted chunks; a stream, so memory follows one batch.
+
+    The chunks stand as ``render`` gives them: whole conversations in a partition, in order. Chunks that were stored
+    and read again go through ``in_order`` first.
+    """
 
     def run(batches):
         now, state = None, None
@@ -116,20 +159,20 @@ def read_back(chunks: DataFrame) -> DataFrame:
         close()
         yield pa.RecordBatch.from_pylist([dict(zip(_READ.names, r, strict=True)) for r in done], schema=_READ)
 
-    ordered = chunks.repartition("conv_id").sortWithinPartitions("conv_id", "first", "message_id")
-    return ordered.select("conv_id", "chunk", "loss_start", "loss_end").mapInArrow(
+    return chunks.select("conv_id", "chunk", "loss_start", "loss_end").mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
 
+def in_order(chunks: DataFrame) -> DataFrame:
+    """Stored chunks as ``render`` gave them."""
+    return chunks.repartition("conv_id").sortWithinPartitions("conv_id", "first", "message_id", "chunk")
+
+
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of turns as an event log: each row streams one message; rows of equal turn stand by role and text."""
+    """A table of turns as an event log: each row is a message of its own; rows of equal turn stand by role and text."""
     return conversations.select(
-        "conv_id", F.col("turn").alias("seq"),
-        F.concat_ws(
-            "\x01", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.monotonically_increasing_id().cast("string")
-        ).alias("message_id"),
-        F.lit("delta").alias("op"), "role", "text",
+        "conv_id", F.col("turn").alias("seq"), F.lit(None).cast("string").alias("message_id"), F.lit(DELTA).alias("op"), "role", "text"
     )
 
 
