@@ -5,23 +5,31 @@ looks at the last two words of the current position: the block shift table says
 suffix-hash bucket (narrowed by the window's first two words) lists the few windows that can, and direct comparison
 confirms. Windows of each length have their own table, so short items do not shorten the shifts of the others.
 
-Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. Null or empty text has no words and is
-never contaminated; items without words have no window; items with a null id are left out. Repeated document rows give
-repeated results, repeated items count once. The windows are searched in blocks of at most ``block_windows``, so what
-a task holds does not grow with the benchmark.
+Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. Null, empty or wordless texts are never
+contaminated; items without words have no window. Items with a null id hit words like others and count together as one
+item, but are not named. Repeated document rows give repeated results, repeated items count once. Very long texts are
+scanned whole. Empty tables: no documents, no rows; no items, no hits. Other columns are not read, but for those to
+carry; ``carry`` may not name n_words, n_hit, n_items or items.
+
+Windows are searched in blocks of at most about ``BLOCK_BYTES`` of window text and ids. A task scans each of its batches
+with one block's tables after the other, so it holds one block's tables (about eight times those bytes) and the blocks
+themselves compressed; no text is moved or written for it. The driver passes on the windows a block at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm._common import cut, map_columns, written
+from kgspark.llm._common import SLICE, cut, map_columns, worker_state
 
 WINDOW = 10
-BLOCK_WINDOWS = 200_000
+BLOCK_BYTES = 8_000_000
 
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -33,43 +41,39 @@ def words(text: str | None) -> list[bytes]:
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
-    """Distinct windows: (window, items), the window's words joined by a space and the sorted ids that hold it."""
+    """Distinct (item_id, window), the window's words joined by a space."""
 
     def make():
         def f(ids, texts):
             out: set = set()
             for i, text in zip(ids, texts, strict=True):
-                if i is None:
-                    continue
                 w = words(text)
                 size = min(WINDOW, len(w))
                 if size:
-                    out.update((i, b" ".join(w[k : k + size]).decode()) for k in range(len(w) - size + 1))
-            rows = sorted(out)
+                    out.update((i, b" ".join(w[k : k + size]).decode("utf-8", "surrogatepass")) for k in range(len(w) - size + 1))
+            rows = list(out)
             return [r[0] for r in rows], [r[1] for r in rows]
 
         return f
 
-    rows = map_columns(benchmark, ["item_id", "text"], "item_id long, window string", make)
-    return rows.groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return map_columns(benchmark, ["item_id", "text"], "item_id long, window string", make).distinct()
 
 
 class WuManber:
     """Shift and bucket tables over windows of one length in words."""
 
-    def __init__(self, size: int, patterns: list[tuple[list[bytes], list[int]]]):
+    def __init__(self, size: int, patterns: dict[tuple[bytes, ...], list]):
         self.size, self.block = size, min(2, size)
         self.default = size - self.block + 1
         self.shift: dict = {}
         self.buckets: dict = {}
-        for w, items in patterns:
+        for w, items in patterns.items():
             for end in range(self.block, size + 1):
                 key = self._key(w, end)
                 self.shift[key] = min(self.shift.get(key, self.default), size - end)
-            first = self._key(w, self.block)
-            self.buckets.setdefault(self._key(w, size), {}).setdefault(first, []).append((w, items))
+            self.buckets.setdefault(self._key(w, size), {}).setdefault(self._key(w, self.block), []).append((w, items))
 
-    def _key(self, w: list[bytes], end: int):
+    def _key(self, w, end: int):
         return (w[end - 2], w[end - 1]) if self.block == 2 else w[end - 1]
 
     def scan(self, w: list[bytes], mask: bytearray, items: set) -> None:
@@ -86,58 +90,65 @@ class WuManber:
             start = end - size
             first = (w[start], w[start + 1]) if pair else w[start]
             for pattern, ids in self.buckets[key].get(first, ()):
-                if w[start:end] == pattern:
+                if tuple(w[start:end]) == pattern:
                     mask[start:end] = hit
                     items.update(ids)
             end += 1
 
 
-def tables(patterns: list[tuple[str, list[int]]]) -> list[WuManber]:
-    by_size: dict[int, list] = {}
-    for window, items in patterns:
-        w = window.encode().split(b" ")
-        by_size.setdefault(len(w), []).append((w, items))
+def tables(pairs: list[tuple[int | None, str]]) -> list[WuManber]:
+    by_size: dict[int, dict] = {}
+    same: dict[bytes, bytes] = {}  # one object a word
+    for item, window in pairs:
+        w = tuple(same.setdefault(x, x) for x in window.encode("utf-8", "surrogatepass").split(b" "))
+        by_size.setdefault(len(w), {}).setdefault(w, []).append(item)
     return [WuManber(size, rows) for size, rows in sorted(by_size.items())]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row a document row: the carried columns, n_words, n_hit, items (sorted ids of items with occurring windows)."""
-    spark = docs.sparkSession
+def _packed(rows) -> bytes:
+    """Windows hold words and single blanks only, so lines and tabs are free; compressed, as a worker keeps each block."""
+    return zlib.compress("\n".join(f"{'' if i is None else i}\t{w}" for i, w in rows).encode("utf-8", "surrogatepass"))
+
+
+def _unpacked(data: bytes) -> list[tuple[int | None, str]]:
+    rows = (line.split("\t") for line in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n") if line)
+    return [(int(i) if i else None, w) for i, w in rows]
+
+
+def search(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row a document row: the carried columns, n_words, n_hit, n_items and items (sorted ids of named items with
+    occurring windows)."""
+    context = docs.sparkSession.sparkContext
     found = cut(windows(benchmark))
-    blocks = max(1, -(-found.count() // block_windows))
-    state = docs.select(
-        *carry, F.col("text").alias("__text"), F.lit(None).cast("binary").alias("__mask"),
-        F.lit(None).cast("array<long>").alias("__items"),
-    )
-    for k in range(blocks):
-        part = found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k) if blocks > 1 else found
-        patterns = spark.sparkContext.broadcast([(r["window"], r["items"]) for r in part.collect()])
-        last = k == blocks - 1
-
-        def make(patterns=patterns, last=last):
-            machines = tables(patterns.value)
-
-            def f(texts, masks, items):
-                out: list[tuple] = []
-                for text, mask, known in zip(texts, masks, items, strict=True):
-                    w = words(text)
-                    mask = bytearray(mask) if mask is not None else bytearray(len(w))
-                    got = set(known or ())
-                    for m in machines:
-                        m.scan(w, mask, got)
-                    if last:
-                        out.append((len(w), mask.count(1), sorted(got)))
-                    else:
-                        out.append((text, bytes(mask), sorted(got)))
-                return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
-
-            return f
-
-        schema = "n_words long, n_hit long, items array<long>" if last else "__text string, __mask binary, __items array<long>"
-        state = map_columns(state, ["__text", "__mask", "__items"], schema, make, carry)
-        if not last:
-            state = written(state)
-    return state
+    size = found.agg(F.sum(F.octet_length("window") + 8)).head()[0] or 0
+    n_blocks = max(1, -(-size // block_bytes))
+    dealt = found.withColumn("block", F.pmod(F.xxhash64("window", "item_id"), F.lit(n_blocks)))
+    name = uuid.uuid4().hex
+    blocks = [context.broadcast(_packed(dealt.where(F.col("block") == k).select("item_id", "window").collect())) for k in range(n_blocks)]
+
+    def block_tables(k: int) -> list[WuManber]:
+        if n_blocks == 1:
+            return worker_state("windows", name, lambda: tables(_unpacked(blocks[0].value)))
+        return tables(_unpacked(blocks[k].value))
+
+    made = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, whole.num_rows if n_blocks > 1 else SLICE):
+                batch = whole.slice(at, whole.num_rows if n_blocks > 1 else SLICE)
+                split = [words(t) for t in batch.column(0).to_pylist()]
+                masks, items = [bytearray(len(w)) for w in split], [set() for _ in split]
+                for k in range(n_blocks):
+                    for machine in block_tables(k):
+                        for w, mask, got in zip(split, masks, items, strict=True):
+                            machine.scan(w, mask, got)
+                columns = [len(w) for w in split], [m.count(1) for m in masks], [len(x) for x in items], [sorted(i for i in x if i is not None) for x in items]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, t.type) for c, t in zip(columns, made, strict=True))], names=[*carry, *made.names])
+
+    given = docs.select("text", *(F.col(c).alias(f"__carry_{k}") for k, c in enumerate(carry)))
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    return given.mapInArrow(run, kinds + "n_words long, n_hit long, n_items long, items array<long>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -146,7 +157,7 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("items").cast("long").alias("n_items"),
+        "n_items",
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
