@@ -5,7 +5,10 @@ filterbanks, and energy segments with hysteresis (a segment opens above one leve
 segment's log-mel frames are pooled to a fixed shape and stored as a fixed-shape Arrow tensor beside its time span.
 
 Payload of a text: its UTF-8 bytes, then bytes 0 up to a positive multiple of 64. Null text is read as empty. Equal
-payloads have equal features. Frames are made in blocks, so working memory beyond the samples is bounded.
+payloads have equal features, repeated rows equal results. Frames are made in blocks, so working memory beyond the
+samples is bounded; a very long text is one signal. Zeros follow the signal, so every sample is well inside a frame;
+time spans end with the signal. A signal whose levels are all alike has at most one segment. An empty table gives
+an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kgspark.llm._common import map_columns
 
@@ -59,9 +63,11 @@ def _low_pass(up: int, down: int) -> np.ndarray:
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Polyphase: every output phase has its own sub-filter; no zero-stuffed signal is ever made."""
+    """Polyphase: every output phase has its own sub-filter; no zero-stuffed signal is ever made. The filter's delay is
+    taken off, so that the last samples count as much as others."""
     h = _low_pass(up, down)
-    n = -(-len(x) * up // down)
+    delay = len(h) // 2 // down
+    n = delay - (-len(x) * up // down)
     y = np.zeros(n, np.float32)
     for first in range(up):
         where = np.arange(first, n, up)
@@ -80,8 +86,8 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
             continue
         full = np.convolve(x, sub)
         at = start + np.arange(len(where)) * down
-        y[where] = full[np.minimum(at, len(full) - 1)]
-    return y
+        y[where] = full[at]
+    return y[delay:]
 
 
 @lru_cache
@@ -97,9 +103,10 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def log_mel(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel energies (frames, MELS) and the level in dB of each frame."""
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+    """Log-mel energies (frames, MELS) and the level in dB of each frame; zeros follow for at least HOP samples, as a frame's last
+    samples weigh next to nothing."""
+    size = FRAME + HOP * max(0, -(-(len(x) + HOP - FRAME) // HOP))
+    x = np.concatenate([x, np.zeros(size - len(x), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     mels, levels = [], []
     for at in range(0, len(frames), BLOCK_FRAMES):
@@ -146,7 +153,7 @@ def features(media: bytes) -> bytes:
     batch = pa.RecordBatch.from_arrays(
         [
             pa.array([a * HOP / rate for a, _ in spans], pa.float32()),
-            pa.array([((b - 1) * HOP + FRAME) / rate for _, b in spans], pa.float32()),
+            pa.array([min((b - 1) * HOP + FRAME, len(x)) / rate for _, b in spans], pa.float32()),
             pa.ExtensionArray.from_storage(_kind(), pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), SLOTS * MELS)),
         ],
         names=["start_s", "end_s", "log_mel"],
@@ -171,29 +178,29 @@ def media(docs: DataFrame) -> DataFrame:
 
 
 def featured(rows: DataFrame) -> DataFrame:
-    """Adds the features of a media column: doc_id, n_bytes, media, features (Arrow IPC)."""
+    """The media column read back: doc_id, n_bytes, media, features (Arrow IPC), n_segments, end_s, and payload_bytes,
+    payload_sha256 and tail_crc32 of the samples that are stored."""
 
     def make():
-        return lambda ids, n, m: (ids, n, m, [features(x) for x in m])
-
-    return map_columns(rows, ["doc_id", "n_bytes", "media"], "doc_id long, n_bytes long, media binary, features binary", make)
-
-
-def digest(rows: DataFrame) -> DataFrame:
-    """Digests of stored media and features, read back from the stored bytes."""
-
-    def make():
-        def one(n, m, f):
+        def one(m):
             data = from_wav(m)[1]
+            f = features(m)
             t = pa.ipc.open_stream(f).read_all()
-            feature = f"{t.num_rows - 1}:{t['end_s'][0].as_py():.3f}:{hashlib.sha256(f).hexdigest()[:32]}"
-            return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature
+            return f, t.num_rows - 1, t["end_s"][0].as_py(), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:])
 
-        def f(ids, n, m, feats):
-            got = [one(*x) for x in zip(n, m, feats, strict=True)]
-            return (ids, n, *map(list, zip(*got, strict=True)))
+        def f(media):
+            return tuple(map(list, zip(*map(one, media), strict=True)))
 
         return f
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_columns(rows, ["doc_id", "n_bytes", "media", "features"], schema, make)
+    schema = "features binary, n_segments long, end_s double, payload_bytes long, payload_sha256 string, tail_crc32 long"
+    return map_columns(rows, ["media"], schema, make, ("doc_id", "n_bytes", "media"))
+
+
+def digest(rows: DataFrame) -> DataFrame:
+    """Digests of stored media and features, by column functions."""
+    feature = F.concat_ws(":", F.col("n_segments").cast("string"), F.format_string("%.3f", "end_s"), F.substring(F.sha2("features", 256), 1, 32))
+    return rows.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )

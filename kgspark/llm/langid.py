@@ -2,13 +2,16 @@
 
 The network reads windows of ``WINDOW`` UTF-8 bytes in both directions, labels every byte position with a distribution
 over languages, and a document's probabilities are the mean over its positions. It is trained here, in numpy, by
-backpropagation through time on a bounded sample: at most ``PER_LANG`` windows of each language (the bound is a
-parameter), one from each hash bucket of labelled rows. Prediction reads every byte of every text.
-
-Gates use the piecewise linear sigmoid and tanh, in training as in prediction. Text is lower-cased for A-Z only by the
-network's own weights; no feature but the bytes is read. Text that is null or holds no letter is ``und`` with score 0.
-Without any labelled row, or with one language only, everything with letters gets that language (or ``und``).
-Repeated rows get equal results.
+backpropagation through time on a bounded sample of labelled rows: at most ``PER_LANG`` rows of each language (one from
+each hash bucket of all of them), and ``DRAWS`` windows of each, from anywhere in the text. Both bounds are parameters.
+Prediction reads every byte of every text.
+
+Gates use the piecewise linear sigmoid and tanh, in training as in prediction. No feature but the bytes is read. Text
+that is null, empty or without a letter is ``und`` with score 0. Without any labelled row everything is ``und``; with one
+language only, everything with letters gets it. Ties go to the language that sorts first. Repeated rows get equal
+results; of rows that share a doc_id one is learned from. A very long text is read in blocks of windows. An empty table
+gives an empty result; columns other than doc_id, text and lang are not read, but for those to carry, which may not be
+named lang_pred or score.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ HIDDEN = 8
 STEPS = 160
 BATCH = 96
 BLOCK_WINDOWS = 2048
-SAMPLE_CHARS = 400
+DRAWS = 8
 UNKNOWN = "und"
 
 
@@ -145,22 +148,20 @@ class Network:
                 dh = dh * z + drh * r + dz @ uz.T + dr @ ur.T
         return loss, [d_embed, d_recur, d_out, d_bias]
 
-    def train(self, texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int = 11) -> list[float]:
-        """Adam over windows cut at random places of the sample, languages drawn evenly."""
+    def train(self, windows: list[bytes], labels: list[int], steps: int = STEPS, seed: int = 11) -> list[float]:
+        """Adam over windows drawn from the sample, languages evenly."""
         rng = np.random.default_rng(seed)
-        by_lang = [[t for t, y in zip(texts, labels, strict=True) if y == k] for k in range(len(self.langs))]
+        by_lang = [[t for t, y in zip(windows, labels, strict=True) if y == k] for k in range(len(self.langs))]
         first = [np.zeros_like(w) for w in self.weights()]
         second = [np.zeros_like(w) for w in self.weights()]
         losses = []
         for step in range(1, steps + 1):
             target = rng.integers(0, len(self.langs), BATCH)
-            windows, mask = np.zeros((BATCH, WINDOW), np.uint8), np.zeros((BATCH, WINDOW), bool)
+            made, mask = np.zeros((BATCH, WINDOW), np.uint8), np.zeros((BATCH, WINDOW), bool)
             for k, y in enumerate(target):
-                t = by_lang[y][rng.integers(len(by_lang[y]))]
-                at = int(rng.integers(0, max(1, len(t) - WINDOW + 1)))
-                part = np.frombuffer(t[at : at + WINDOW], np.uint8)
-                windows[k, : len(part)], mask[k, : len(part)] = part, True
-            loss, grads = self.gradients(windows, mask, target)
+                part = np.frombuffer(by_lang[y][rng.integers(len(by_lang[y]))], np.uint8)
+                made[k, : len(part)], mask[k, : len(part)] = part, True
+            loss, grads = self.gradients(made, mask, target)
             losses.append(loss)
             rate = 0.03 * min(1, 2 * (1 - step / (steps + 1)))
             for w, g, m, v in zip(self.weights(), grads, first, second, strict=True):
@@ -171,8 +172,9 @@ class Network:
         return losses
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """(lang, text part) of labelled rows that are not held out: at most per_lang a language, one a hash bucket."""
+def sample(docs: DataFrame, per_lang: int = PER_LANG, draws: int = DRAWS) -> list[tuple[str, bytes]]:
+    """(lang, window) from labelled rows that are not held out: at most per_lang rows a language, one a hash bucket, and
+    as many windows of each as asked for, at hashed places of the whole text."""
     rows = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")))
     rows = rows.where("doc_id is not null and lang is not null and text is not null and text rlike '\\\\p{L}'")
     spread = F.xxhash64("doc_id", F.lit(3))
@@ -182,10 +184,12 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
     chosen = rows.withColumn("h", F.xxhash64("doc_id", F.lit(5))).withColumn("bucket", F.pmod(spread, F.lit(per_lang))).join(
         F.broadcast(best), ["lang", "bucket", "h"]
     )
-    start = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    part = F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS))
-    got = chosen.groupBy("lang", "bucket").agg(F.min(part).alias("part")).collect()
-    return sorted((r["lang"], r["part"]) for r in got)
+    data = F.col("text").cast("binary")
+    last = F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1)
+    places = [F.pmod(F.xxhash64("doc_id", F.lit(9 + k)), last).cast("int") + 1 for k in range(draws)]
+    parts = F.array(*(F.substring(data, at, F.lit(WINDOW)) for at in places))
+    got = chosen.groupBy("lang", "bucket").agg(F.min(parts).alias("parts")).collect()
+    return sorted((r["lang"], bytes(part)) for r in got for part in r["parts"])
 
 
 def fitted(docs: DataFrame, per_lang: int = PER_LANG) -> Network:
@@ -193,7 +197,7 @@ def fitted(docs: DataFrame, per_lang: int = PER_LANG) -> Network:
     langs = sorted({lang for lang, _ in rows})
     net = Network(langs)
     if len(langs) > 1:
-        net.train([t.encode("utf-8", "surrogatepass") for _, t in rows], [langs.index(lang) for lang, _ in rows])
+        net.train([part for _, part in rows], [langs.index(lang) for lang, _ in rows])
     return net
 
 

@@ -6,12 +6,15 @@ places whole runs of equal pieces into runs of equally full sequences. Pieces th
 their rank within their length. Ranks come from counts of hashed sub-groups, so a length that a third of all pieces
 share is not gathered anywhere.
 
-Null text is read as empty: one piece that holds id 0. Repeated rows are packed each for itself.
+Null and empty texts: one piece that holds id 0. Repeated rows are packed each for itself, null ids too. A very long
+text is encoded whole, one at a time, and cut. Texts of equal length are placed in the order of hashed sub-groups and
+ids. An empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import unicodedata
 import zlib
 
@@ -30,11 +33,12 @@ CACHE = 300_000
 
 
 class WordEncoder:
-    """The tokenizer's ids of whole texts, made word by word.
+    """The tokenizer's ids of whole texts, made word by word where the tokenizer works by words.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are its words' ids in order.
-    Words are remembered as little-endian 32-bit ids. Texts with the few control characters on which Python and the
-    tokenizer differ about white space go to the tokenizer whole.
+    A tokenizer that lower-cases, splits at white space and marks the ends of words drops white space and never joins
+    what it separates, so a text's ids are its words' ids in order. Words are remembered as little-endian 32-bit ids.
+    Texts with the few control characters on which Python and the tokenizer differ about white space go to the
+    tokenizer whole, and so do all texts of other tokenizers.
     """
 
     def __init__(self, path: str):
@@ -47,6 +51,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        made = json.loads(self.tokenizer.to_str())
+        parts = [json.dumps(made.get(k) or {}) for k in ("normalizer", "pre_tokenizer")]
+        self.by_word = made["model"].get("end_of_word_suffix") == "</w>" and '"Lowercase"' in parts[0] and '"Removed"' in parts[1]
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -96,6 +103,8 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return list(map(self._packed, self._direct(texts)))
         odd = {k for k, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
         split = [() if k in odd else t.split() for k, t in enumerate(texts)]
         known = self.words
@@ -120,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
     """Rows doc_id, piece, start, length, ids_crc32."""
 
     def make():
-        encoder = worker_state(f"words {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
+        encoder = worker_state("words", tokenizer_path, lambda: WordEncoder(tokenizer_path))
 
         def f(ids, texts):
             out = []
@@ -195,14 +204,14 @@ def place(parts: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     total = sum(histogram.values())
     salts = max(64, total // 50_000)
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     before = (
         salted.groupBy("length", "__salt")
         .count()
         .withColumn("__before", F.sum("count").over(W.partitionBy("length").orderBy("__salt")) - F.col("count"))
         .drop("count")
     )
-    own = F.row_number().over(W.partitionBy("length", "__salt").orderBy("doc_id", "piece")) - 1
+    own = F.row_number().over(W.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = (
         salted.withColumn("__own", own)
         .join(before, ["length", "__salt"])

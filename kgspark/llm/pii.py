@@ -5,9 +5,12 @@ text; a small deterministic parser then expands each anchor to its boundaries an
 
 Kinds and their rules, in rank order:
   email, ip, card, phone   the base kinds: leftmost, non-overlapping within a kind, failing matches dropped
-  account                  IBAN (mod 97) or an identifier after an account cue
-  address                  web address with credentials, or a house number beside a street cue
-Null text is read as empty: no spans. Repeated rows give repeated results. Offsets are code points, end exclusive.
+  account                  IBAN (mod 97) or an identifier of 7 to 30 digits and dashes after an account cue
+  address                  web address with credentials, or a house number (1 to 5 digits) beside a street cue, with up
+                           to three names of 30 letters at most between
+Null and empty texts have no spans. Repeated rows give repeated results, ties of start stand by kind as listed. Very
+long texts are read whole, one at a time. An empty table gives an empty result; columns other than the id and the text
+are not read. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[\x20:=#.]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8})(?![A-Za-z0-9])")
 _IDENT = re.compile(r"(?:\x20?(?:number|no|nr))?[\x20:=#.]{1,4}([A-Za-z]{0,3}[0-9][0-9-]{5,28}[0-9])(?![A-Za-z0-9])", re.I)
-_USERINFO = re.compile(r"[^\s/@:]{1,256}:[^\s/@]{1,256}@[A-Za-z0-9.-]+(?::[0-9]{1,5})?")
+_USERINFO = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
 _NUMBER_AFTER = re.compile(r"(?:\x20[^\W\d_]{1,30}){0,3}\x20([0-9]{1,5}[a-z]?)(?!\w)")
 _NUMBER_BEFORE = re.compile(r"(?<!\w)([0-9]{1,5}[a-z]?)(?:\x20[^\W\d_]{1,30}){0,3}\x20?[^\W\d_]{0,30}$")
+#: The longest that _NUMBER_BEFORE can match.
+_BEFORE = 6 + 3 * 31 + 1 + 30
 
 
 def luhn(digits: str) -> bool:
@@ -79,7 +84,7 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
                 continue
             if at >= done[1] and (m := _IP.match(text, at)):
                 done[1] = m.end()
-                if all(len(p) < 40 and int(p) <= 255 for p in m.groups()):
+                if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.groups())):
                     out.append((at, 1, m.end()))
             if at >= done[2] and (m := _CARD.match(text, at)):
                 done[2] = m.end()
@@ -101,7 +106,7 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
                     out.append((at, 3, m.end()))
         elif kind == "scheme":
             start = at
-            while start > 0 and at - start < 16 and text[start - 1].isalpha() and text[start - 1].isascii():
+            while start > done[5] and text[start - 1].isalpha() and text[start - 1].isascii():
                 start -= 1
             if start < at and start >= done[5] and (m := _USERINFO.match(text, at + 3)):
                 done[5] = m.end()
@@ -118,7 +123,7 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
         elif m := _NUMBER_AFTER.match(text, end + 1):
             done[5] = m.end(1)
             out.append((at, 5, m.end(1)))
-        elif m := _NUMBER_BEFORE.search(text, max(done[5], at - 80), at):
+        elif m := _NUMBER_BEFORE.search(text, max(done[5], at - _BEFORE), at):
             done[5] = end + 1
             out.append((m.start(1), 5, end + 1))
     return sorted(out)

@@ -3,10 +3,13 @@
 Base kinds are regular expressions (leftmost, non-overlapping, failing matches dropped). The method adds candidate
 strings whose Shannon entropy, in some window of ``WINDOW`` characters, reaches the limit of their character class.
 Entropy comes from incremental counts: a fold over entering and leaving characters updates one count and the running
-sum of c*log2(c). Allow-listed strings are suppressed; base spans stay.
+sum of c*log2(c). Candidates are judged as hex or as mixed text, and need a letter and a digit; a run of letters or of
+digits alone is a word or a number. Allow-listed strings are suppressed; base spans stay.
 
-Null text is read as empty: no spans. Repeated rows give repeated results. Offsets are code points, end exclusive.
-A text is one row and is scanned whole; candidates are found in it from left to right, so memory follows one row.
+Null and empty texts have no spans. Repeated rows give repeated results, ties of start stand by kind as listed. Offsets
+are code points, end exclusive. A very long text is one row and is scanned whole; matches are placed by running sums
+and cut out of parts of the text, so time follows the text's length and a little more than its number of matches. An
+empty table gives an empty result. Columns that are not named are not read; ``redact`` changes ``text`` alone.
 """
 
 from __future__ import annotations
@@ -43,23 +46,38 @@ _FAST_CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % WINDOW
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, both) -> Column:
+    """The running ``both`` (an associative function of two columns) of an array, in log2(n) passes of doubling reach."""
+    size = F.size(values)
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int"))
+
+    def step(acc, k):
+        reach = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i < reach, x).otherwise(both(F.get(acc, i - reach), x)))
+
+    return F.when(size < 2, values).otherwise(F.aggregate(passes, values, step))
+
+
 def located(text: Column, pattern: str, kind: Column | None = None) -> Column:
     """All matches of a pattern with their offsets: array of (kind, start, end, value)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
     kind = F.lit(None).cast("string") if kind is None else kind
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        span = F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def placed(x):
+        found, gaps = x["found"], x["gaps"]
+        sizes = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+        return F.zip_with(
+            running(sizes, lambda a, b: a + b), found,
+            lambda end, m: F.struct(kind.alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")),
         )
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(steps, zero, step, lambda acc: acc["out"]))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), bound(both, placed)).otherwise(F.array().cast(SPAN))
 
 
 def best_entropy(value: Column) -> Column:
@@ -143,21 +161,35 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redacted(text: Column) -> Column:
-    """The text with each span replaced by ``<SECRET>``; overlapping spans count once, from the first start."""
+def _without(text: Column, spans: Column, tag: str) -> Column:
+    """The text with the tag for each group of overlapping spans; spans are sorted by start and not empty."""
+    reach = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+    #: Kept stretches (from, to): before each span that starts where all earlier ones have ended, and behind the last.
+    starts = lambda upto: F.transform(spans, lambda x, i: F.struct(F.when(i > 0, F.get(upto, i - 1)).otherwise(F.lit(0)).alias("a"), x["start"].alias("b")))
 
-    def step(acc, x):
-        inside = x["start"] < acc["at"]
-        cut = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], cut, F.lit("<SECRET>"))).alias("out"),
-        )
+    def pieces(upto):
+        inner = F.filter(starts(upto), lambda s: s["b"] >= s["a"])
+        return F.concat(inner, F.array(F.struct(F.element_at(upto, -1).alias("a"), F.length(text).alias("b"))))
+
+    def joined(kept):
+        # Blocks of stretches are cut out of the text, and stretches out of their block.
+        width = F.ceil(F.sqrt(F.size(kept).cast("double"))).cast("int")
+
+        def block(at):
+            rows = F.slice(kept, at + 1, width)
+            base = F.element_at(rows, 1)["a"]
+            part = F.substring(text, base + 1, F.element_at(rows, -1)["b"] - base)
+            return bound(part, lambda p: F.array_join(F.transform(rows, lambda s: F.substring(p, s["a"] - base + 1, s["b"] - s["a"])), tag))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(kept) - 1, width), block), tag)
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    spans = all_spans(F.coalesce(text, F.lit("")))
+    return bound(bound(reach, pieces), joined)
+
+
+def redacted(text: Column) -> Column:
+    """The text with each span replaced by ``<SECRET>``; overlapping spans count once, from the first start."""
     return F.when(text.isNull(), text).otherwise(
-        F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+        bound(all_spans(text), lambda spans: F.when(F.size(spans) == 0, text).otherwise(_without(text, spans, "<SECRET>")))
     )
 
 
