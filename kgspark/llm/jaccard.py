@@ -37,7 +37,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
 HASHES = 350
-BLOCK = 192
+#: Nodes of a block: two blocks are compared at once, in matrices of four times its square.
+BLOCK = 1024
 #: Words whose hashes a task remembers.
 CACHE = 200_000
 #: A node that has one of so many rows, or more, is hot: there are at most so many of them, whatever the table.
@@ -143,20 +144,23 @@ def _verified(copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray, thre
     owner, place = owner[keep], column[place[keep]]
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    common = np.zeros((k, k), np.int64)
+    common = np.zeros((k, k), np.float32)  # counts, exact below 2^24
     width = max(1, 8_000_000 // k)
     total = int(shared.sum())
     for at in range(0, total, width):
         lo, hi = np.searchsorted(place, (at, at + width))
         m = np.zeros((k, min(width, total - at)), np.float32)
         m[owner[lo:hi], place[lo:hi] - at] = 1
-        common += np.rint(m @ m.T).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - common
-    linked = (common >= threshold * union - 1e-9) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+        common += m @ m.T
+    linked = np.empty((k, k), bool)
+    for at in range(0, k, 256):
+        rows = slice(at, at + 256)
+        union = sizes[rows, None] + sizes[None, :] - common[rows].astype(np.float64)
+        linked[rows] = (common[rows] >= threshold * union - 1e-9) & ((side[rows, None] != side[None, :]) | (side[rows, None] == 2))
     np.fill_diagonal(linked, False)
-    root = np.arange(k)
+    root = np.arange(k, dtype=np.int32)
     while True:
-        near = np.minimum(root, np.where(linked, root[None, :], k).min(axis=1, initial=k))
+        near = np.minimum(root, np.where(linked, root[None, :], np.int32(k)).min(axis=1, initial=k))
         near = near[near]
         if (near == root).all():
             return linked @ copies, root
