@@ -15,6 +15,7 @@ SELECT 'cls:Customer' AS id, 'Customer' AS label, 'Class' AS type, 'Whoever plac
 UNION ALL SELECT 'cls:Supplier', 'Supplier', 'Class', 'Whoever delivers parts', NULL, NULL
 UNION ALL SELECT 'cls:Part', 'Part', 'Class', 'What is bought and sold', NULL, NULL
 UNION ALL SELECT 'cls:Order', 'Order', 'Class', NULL, NULL, NULL
+UNION ALL SELECT 'cls:odd', 'sub-class   of odds', 'Class', NULL, NULL, NULL
 UNION ALL SELECT DISTINCT 'seg:' || c_mktsegment, c_mktsegment, 'Class', 'Market segment ' || c_mktsegment, NULL, NULL FROM customer
 UNION ALL SELECT DISTINCT 'ptype:' || p_type, p_type, 'Class', 'Part type ' || p_type, NULL, NULL FROM part
 UNION ALL SELECT 'region:' || r_regionkey, r_name, 'Instance', '', NULL, NULL FROM region

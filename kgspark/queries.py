@@ -96,14 +96,38 @@ def infer_symmetric(spark, d):
     return _inferred(closure(_normal(spark, d, V.RELATED, V.DISJOINT)), V.RELATED, V.DISJOINT)
 
 
-@query(f"""WITH RECURSIVE {CLOSURE} SELECT (SELECT count(*) FROM norm) AS direct,
+#: One row an issue of the validator: severity, and its weight in the quality penalty (repeats by edge, orphans by node).
+_ISSUES = f"""{CLOSURE},
+dis AS (SELECT DISTINCT least(s, o) AS a, greatest(s, o) AS b FROM fact WHERE p = 'owl:disjointWith' AND s <> o),
+held AS (SELECT s AS x, o AS c, 'disjoint_violation' AS code FROM fact WHERE p = 'rdf:type' UNION SELECT s, o, 'unsatisfiable_class' FROM fact WHERE p = 'rdfs:subClassOf'
+  UNION SELECT s, s, 'unsatisfiable_class' FROM fact WHERE p = 'rdfs:subClassOf'),
+ring AS (SELECT f.p, f.s, least(f.s, min(f.o)) AS first FROM fact f JOIN fact b ON b.s = f.o AND b.o = f.s AND b.p = f.p
+  WHERE f.p IN ('rdfs:subClassOf', 'part-of', 'located-in', 'precedes') GROUP BY f.p, f.s),
+one(severity, weight) AS (
+  SELECT 'error', 1 FROM edges WHERE source NOT IN (SELECT id FROM nodes) OR target NOT IN (SELECT id FROM nodes)
+  UNION ALL SELECT 'warn', 1 FROM edges WHERE source = target
+  UNION ALL SELECT CASE WHEN tt = 'Literal' THEN 'error' ELSE 'warn' END, 1 FROM norm WHERE st = 'Literal'
+  UNION ALL SELECT 'error', 1 FROM norm WHERE label = 'rdf:type' AND tt IN ('Instance', 'Literal')
+  UNION ALL SELECT 'error', 1 FROM norm WHERE label IN ('rdfs:subClassOf', 'owl:disjointWith', 'owl:equivalentClass') AND (st IN ('Instance', 'Literal') OR tt IN ('Instance', 'Literal'))
+  UNION ALL SELECT 'warn', 1 FROM norm WHERE note IS NOT NULL
+  UNION ALL SELECT 'error', 1 FROM (SELECT DISTINCT m.x, a, b, m.code FROM held m JOIN dis ON m.c = a JOIN held n ON n.x = m.x AND n.c = b AND n.code = m.code)
+  UNION ALL SELECT CASE WHEN p = 'rdfs:subClassOf' THEN 'warn' ELSE 'error' END, 1 FROM (SELECT DISTINCT p, first FROM ring)
+  UNION ALL SELECT 'warn', count(*) FROM edges WHERE source <> target AND id NOT IN (SELECT id FROM norm) HAVING count(*) > 0
+  UNION ALL SELECT 'warn', count(*) FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM norm WHERE source = n.id) AND NOT EXISTS (SELECT 1 FROM norm WHERE target = n.id) HAVING count(*) > 0)"""
+
+
+def _validated(spark, d):
+    g = testgraph.load(spark, d)
+    n = Graph(g.nodes, cut(normalize(g).edges))
+    facts = cut(closure(n))
+    return n, facts, validate.validate(g, n, facts)
+
+
+@query(f"""WITH RECURSIVE {_ISSUES} SELECT (SELECT count(*) FROM norm) AS direct,
   (SELECT count(*) FROM (SELECT * FROM fact WHERE s <> o EXCEPT SELECT * FROM fact0)) AS inferred,
-  (SELECT count(*) FROM edges WHERE source NOT IN (SELECT id FROM nodes) OR target NOT IN (SELECT id FROM nodes)) AS errors, 0 AS warnings""")
+  (SELECT count(*) FROM one WHERE severity = 'error') AS errors, (SELECT count(*) FROM one WHERE severity = 'warn') AS warnings""")
 def closure_stats(spark, d):
-    g = testgraph.load(spark, d)
-    n = normalize(g)
-    n = Graph(g.nodes, cut(n.edges))
-    return stats(n, closure(n), validate.dangling(g))
+    return stats(*_validated(spark, d))
 
 
 @query(f"""WITH {NORM} SELECT DISTINCT n.source AS s, 'rdf:type' AS p, c.id AS o FROM norm n JOIN nodes c ON c.id = 'cls:Part' OR c.id LIKE 'ptype:%'
@@ -184,23 +208,11 @@ def validate_relations(spark, d):
     return _issues(validate.downgraded(g).union(validate.custom(g)))
 
 
-@query(f"""WITH {NORM}, x AS (
-  SELECT (SELECT count(*) FROM edges WHERE source NOT IN (SELECT id FROM nodes) OR target NOT IN (SELECT id FROM nodes))
-    + (SELECT count(*) FROM norm WHERE st = 'Literal' AND tt = 'Literal') + (SELECT count(*) FROM norm WHERE label = 'rdf:type' AND tt IN ('Instance', 'Literal'))
-    + (SELECT count(*) FROM norm WHERE label IN ('rdfs:subClassOf', 'owl:disjointWith', 'owl:equivalentClass') AND (st IN ('Instance', 'Literal') OR tt IN ('Instance', 'Literal'))) AS errors,
-  (SELECT count(*) FROM edges WHERE source = target) + (SELECT count(*) FROM edges WHERE source <> target AND id NOT IN (SELECT id FROM norm))
-    + (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT source FROM norm UNION SELECT target FROM norm))
-    + (SELECT count(*) FROM norm WHERE st = 'Literal' AND tt IS DISTINCT FROM 'Literal') + (SELECT count(*) FROM norm WHERE note IS NOT NULL) AS warnings)
+@query(f"""WITH RECURSIVE {_ISSUES}, x AS (
+  SELECT coalesce(sum(weight) FILTER (severity = 'error'), 0)::BIGINT AS errors, coalesce(sum(weight) FILTER (severity = 'warn'), 0)::BIGINT AS warnings FROM one)
 SELECT errors, warnings, 15 * errors + 3 * warnings AS penalty, greatest(0, 100 - 15 * errors - 3 * warnings) AS quality FROM x""")
 def quality_score(spark, d):
-    """The penalty of the issues that need no closure."""
-    g = testgraph.load(spark, d)
-    n = Graph(g.nodes, cut(normalize(g).edges))
-    parts = [validate.dangling(g), validate.self_loop(g), validate.duplicate(g, n), validate.orphan(n), validate.by_types(n), validate.downgraded(n)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return score.penalty(out)
+    return score.penalty(_validated(spark, d)[2])
 
 
 # Graph algorithms
@@ -470,8 +482,10 @@ def string_functions(spark, d):
     )
 
 
-@query(f"""WITH {BASE} SELECT id, CASE type WHEN 'Class' THEN array_to_string(list_transform(string_split(trim(label), ' '), lambda x: upper(x[1:1]) || x[2:]), ' ')
-  WHEN 'Instance' THEN upper(trim(label)[1:1]) || trim(label)[2:] ELSE label END AS label FROM nodes""")
+@query(rf"""WITH {BASE}, n AS (SELECT id, type, regexp_replace(trim(label), '\s+', ' ', 'g') AS s FROM nodes)
+SELECT id, CASE type WHEN 'Class' THEN array_to_string(list_transform(regexp_extract_all(s, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),
+    lambda x: CASE WHEN regexp_matches(x, '^[a-z]') THEN upper(x[1:1]) || x[2:] ELSE x END), '')
+  WHEN 'Instance' THEN upper(s[1:1]) || s[2:] WHEN 'Literal' THEN regexp_replace(s, '^["'']|["'']$', '', 'g') ELSE s END AS label FROM n""")
 def normalized_labels(spark, d):
     return dedup.normalized_labels(testgraph.load(spark, d, stored=False).nodes)
 
@@ -539,12 +553,11 @@ def rag_anchors(spark, d):
 _WORDS = "list_filter(regexp_split_to_array(text, '[\\s]+'), lambda x: x <> '')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents)
-SELECT doc_id, (s / 995)::INT AS chunk, sha256(array_to_string(w[s + 1:s + 1150], ' ')) AS digest FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) > 1150 THEN range(0, len(w), 995) ELSE [0] END) AS s FROM w) WHERE len(w) > 1150""")
+@query(f"""WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents)
+SELECT doc_id, (s / 995)::INT AS chunk, sha256(CASE WHEN len(w) > 1150 THEN array_to_string(w[s + 1:s + 1150], ' ') ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END) AS digest
+FROM (SELECT doc_id, text, w, unnest(CASE WHEN len(w) > 1150 THEN range(0, len(w), 995) ELSE [0] END) AS s FROM w)""")
 def chunk_words(spark, d):
-    c = chunks.word_chunks(_table(spark, d, "documents"))
-    many = c.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    return c.join(many, "doc_id", "left_semi").select("doc_id", "chunk", F.sha2("text", 256).alias("digest"))
+    return chunks.word_chunks(_table(spark, d, "documents")).select("doc_id", "chunk", F.sha2("text", 256).alias("digest"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(x) <> '') AS w, text FROM documents)
