@@ -29,6 +29,19 @@ _ARROW = {
 }
 
 
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets Spark's limit of bytes a batch that goes to Python, unless the session has one of its own.
+
+    For the driver's queries and the pipeline, which own the run; operators leave the session as it is.
+    """
+    if spark.conf.get(_LIMIT) in ("67108864b", "67108864", "64MB"):
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kgspark.llm import audio, chat, decontam, jaccard, langid, lines, packing, pii, secrets, urlgraph
-from kgspark.llm._common import table
+from kgspark.llm._common import small_batches
+from kgspark.llm._common import table as stored
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return stored(spark, sf_dir, name)
 
 
 def tokenizer_path(name: str = packing.TOKENIZER) -> str:
