@@ -78,27 +78,32 @@ class WordEncoder:
                 out.update(zip(part, map(self._packed, self._direct(part)), strict=True))
         return out
 
-    def learned(self, missing: set[str]) -> dict[str, bytes]:
+    def _cores(self, words: list[str]) -> list[str]:
+        """Lower-cased words without trailing stops and commas; an empty one where that isn't all letters or where Python
+        and the tokenizer might lower-case or compose the word differently."""
+        lows = "\n".join(words).lower().split("\n")
+        joined = "".join(words)
+        simple = joined.isascii() or (unicodedata.is_normalized("NFC", "\n".join(words)) and "Σ" not in joined and "ς" not in joined and "İ" not in joined)
+        cores = [low.rstrip(".,") for low in lows]
+        if simple:
+            return [c if c.isalpha() else "" for c in cores]
+        same = [w.isascii() or (unicodedata.is_normalized("NFC", w) and len(w) == len(low) and "ς" not in low and "Σ" not in w) for w, low in zip(words, lows, strict=True)]
+        return [c if ok and c.isalpha() else "" for c, ok in zip(cores, same, strict=True)]
+
+    def learned(self, missing: list[str]) -> dict[str, bytes]:
         """The ids of words that aren't remembered; their letters without trailing stops and commas may be."""
-        plain, other, tails = {}, [], set()
-        for w in missing:
-            core = w.rstrip(".,")
-            low = core.lower()
-            if core and low.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and len(low) == len(core) and "ς" not in low and "Σ" not in core)):
-                plain[w] = low
-                if len(low) < len(w):
-                    tails.add(w[len(low) :])
-            else:
-                other.append(w)
+        found = self._cores(missing)
         cores = self.cores
-        new = self._plain(sorted({c for c in plain.values() if c not in cores}))
-        others = sorted({*other, *tails})
+        new = self._plain([c for c in set(found) if c and c not in cores])
+        # A word without a core goes to the tokenizer whole, one with a core by what stands after it.
+        rest = [w[len(c) :] for w, c in zip(missing, found, strict=True)]
+        others = list(set(rest) - {""})
         direct = dict(zip(others, map(self._packed, self._direct(others)), strict=True)) if others else {}
-        out = {w: direct[w] for w in other}
-        for w, c in plain.items():
-            ids = cores.get(c) or new[c]
-            out[w] = ids + direct[w[len(c) :]] if len(c) < len(w) else ids
+        direct[""] = b""
+        new[""] = b""
+        out = {w: (new[c] if c in new else cores[c]) + direct[r] for w, c, r in zip(missing, found, rest, strict=True)}
         if len(cores) < CACHE:
+            del new[""]
             cores.update(new)
         return out
 
@@ -108,10 +113,7 @@ class WordEncoder:
         odd = {k for k, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t}
         split = [() if k in odd else t.split() for k, t in enumerate(texts)]
         known = self.words
-        missing: set[str] = set()
-        for s in split:
-            missing.update(s)
-        missing.difference_update(known)
+        missing = [w for w in set().union(*split) if w not in known]
         new = self.learned(missing) if missing else {}
         room = len(known) < CACHE
         known.update(new)
