@@ -54,6 +54,41 @@ def _issues(df: DataFrame) -> DataFrame:
     return df.select("severity", "code", F.array_join("node_ids", ",").alias("node_ids"), F.array_join("edge_ids", ",").alias("edge_ids"))
 
 
+_DEGREE = "deg AS (SELECT n.id, count(e.id) AS degree FROM nodes n LEFT JOIN (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) e ON e.id = n.id GROUP BY n.id)"
+#: Undirected steps between nodes, components by least id, and distances from roots, for the SQL versions.
+_STEPS = "st AS (SELECT source AS u, target AS v FROM edges WHERE source <> target UNION SELECT target, source FROM edges WHERE source <> target)"
+_COMPONENTS = f"""{_STEPS}, inside AS (SELECT u, v FROM st SEMI JOIN nodes a ON a.id = u SEMI JOIN nodes b ON b.id = v),
+cc(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION
+  SELECT now.id, min(cc.component) FROM cc JOIN inside ON inside.v = cc.id JOIN recurring.cc AS now ON now.id = inside.u WHERE cc.component < now.component GROUP BY now.id)"""
+
+
+def _distances(roots: str) -> str:
+    return f"""far(root, id, k) USING KEY (root, id) AS ({roots} UNION
+  SELECT far.root, st.v, min(far.k) + 1 FROM far JOIN st ON st.u = far.id ANTI JOIN recurring.far AS now ON now.root = far.root AND now.id = st.v GROUP BY far.root, st.v)"""
+
+
+#: Strongly connected groups by brute force: which nodes of the trimmed graph reach which.
+_STRONG = """one AS (SELECT DISTINCT source AS u, target AS v FROM edges),
+t1 AS MATERIALIZED (SELECT u, v FROM one WHERE u <> v AND u IN (SELECT v FROM one) AND v IN (SELECT u FROM one)),
+t2 AS MATERIALIZED (SELECT u, v FROM t1 WHERE u IN (SELECT v FROM t1) AND v IN (SELECT u FROM t1)),
+t3 AS MATERIALIZED (SELECT u, v FROM t2 WHERE u IN (SELECT v FROM t2) AND v IN (SELECT u FROM t2)),
+t4 AS MATERIALIZED (SELECT u, v FROM t3 WHERE u IN (SELECT v FROM t3) AND v IN (SELECT u FROM t3)),
+reach(a, b) AS (SELECT u, v FROM t4 UNION SELECT a, v FROM reach JOIN t4 ON u = b),
+strong AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a
+  UNION SELECT u, u FROM one WHERE u = v AND NOT EXISTS (SELECT 1 FROM reach WHERE a = u AND b = u))"""
+
+
+def _local(c: str) -> str:
+    """A Turtle-safe name of an ASCII text."""
+    s = f"regexp_replace(regexp_replace(trim({c}), '[^A-Za-z0-9_]+|_+', '_', 'g'), '_+', '_', 'g')"
+    s = f"regexp_replace({s}, '^_+|_+$', '', 'g')"
+    return f"(CASE WHEN {s} = '' THEN 'unnamed' WHEN {s}[1:1] BETWEEN '0' AND '9' THEN '_' || {s} ELSE {s} END)"
+
+
+def _escaped(c: str) -> str:
+    return f"""replace(replace({c}, '\\', '\\\\'), '"', '\\"')"""
+
+
 # Normalization
 
 
@@ -171,7 +206,7 @@ def validate_duplicate(spark, d):
     return _issues(validate.duplicate(g, normalize(g)))
 
 
-@query(f"WITH {NORM} SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM norm UNION SELECT target FROM norm)")
+@query(f"WITH {NORM}, used AS MATERIALIZED (SELECT source AS id FROM norm UNION SELECT target FROM norm) SELECT id FROM nodes ANTI JOIN used USING (id)")
 def validate_orphan(spark, d):
     return validate.orphan_ids(_normal(spark, d))
 
@@ -217,7 +252,6 @@ def quality_score(spark, d):
 
 # Graph algorithms
 
-_DEGREE = "deg AS (SELECT n.id, count(e.id) AS degree FROM nodes n LEFT JOIN (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) e ON e.id = n.id GROUP BY n.id)"
 
 
 @query(f"WITH {BASE}, {_DEGREE} SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 8")
@@ -270,12 +304,12 @@ def components_of_makers(spark, d):
     return ga.connected_components(g, g.edges.where("label = 'component of' or label like '%member%'"))
 
 
-@query()
+@query(f"WITH RECURSIVE {BASE}, {_COMPONENTS} SELECT id, component FROM cc")
 def components_all(spark, d):
     return ga.connected_components(testgraph.load(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {BASE}, {_STRONG} SELECT id, component FROM strong")
 def cycle_components(spark, d):
     return ga.strong_components(testgraph.load(spark, d).direct())
 
@@ -406,12 +440,27 @@ def score_cognition(spark, d):
     return score.cognition(testgraph.load(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BASE}, {_DEGREE}, {_COMPONENTS}, {_STRONG},
+b AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e, (SELECT count(*) FROM deg WHERE degree = 0) AS isolated, (SELECT count(DISTINCT component) FROM cc) AS components,
+  (SELECT count(DISTINCT component) FROM strong) AS cycles, (SELECT count(*) FROM nodes WHERE type = 'Class') AS classes, (SELECT count(*) FROM nodes WHERE type = 'Instance') AS instances, (SELECT max(degree) FROM deg) AS md),
+r AS (SELECT *, e / (n * (n - 1.0::DOUBLE)) AS density, instances / classes::DOUBLE AS ratio FROM b),
+p AS (SELECT *, CASE WHEN density = 0 THEN 0 WHEN density < 0.05 THEN density / 0.05 * 60 WHEN density < 0.35 THEN 60 + (density - 0.05) / 0.30 * 40 ELSE 100 - (density - 0.35) / 0.65 * 50 END AS d,
+  greatest(0, (1 - (components - 1) / n::DOUBLE) * 100) AS c, greatest(0, 100 - cycles * 15.0::DOUBLE) AS y, greatest(0, 100 - md / (e * 2.0::DOUBLE) * 50) AS h,
+  CASE WHEN instances = 0 THEN 30 WHEN ratio < 1 THEN ratio * 70 WHEN ratio <= 6 THEN 70 + (ratio - 1) / 5 * 30 ELSE greatest(0, 100 - (ratio - 6) * 5) END AS t FROM r)
+SELECT floor(d * 0.25 + c * 0.25 + y * 0.20 + h * 0.15 + t * 0.15 + 0.5)::BIGINT AS score, floor(d + 0.5)::BIGINT AS density_score, floor(c + 0.5)::BIGINT AS component_score, floor(y + 0.5)::BIGINT AS cycle_score,
+  floor(h + 0.5)::BIGINT AS hub_score, floor(t + 0.5)::BIGINT AS ratio_score, n, e, isolated, components, cycles, classes, instances FROM p""")
 def score_structure(spark, d):
     return score.structure(testgraph.load(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BASE}, {_DEGREE}, {_COMPONENTS}, ten AS MATERIALIZED (SELECT id FROM nodes ORDER BY id LIMIT 10), {_distances("SELECT id, id, 0 FROM ten")},
+a AS (SELECT coalesce(avg(k), 0) AS avg FROM far SEMI JOIN ten USING (id) WHERE root < id),
+b AS (SELECT avg, (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e, (SELECT count(*) FROM edges WHERE trim(label) <> '') AS l, (SELECT count(DISTINCT component) FROM cc) AS components,
+  (SELECT count(*) FROM deg WHERE degree >= 3) AS hubs FROM a),
+p AS (SELECT *, CASE WHEN avg = 0 THEN 50 WHEN avg <= 2 THEN 90 WHEN avg <= 4 THEN 90 - (avg - 2) * 10 ELSE greatest(0, 70 - (avg - 4) * 15) END AS path,
+  CASE WHEN e / n::DOUBLE < 0.5 THEN e / n::DOUBLE / 0.5 * 50 WHEN e / n::DOUBLE < 4 THEN 50 + (e / n::DOUBLE - 0.5) / 3.5 * 50 ELSE greatest(0, 100 - (e / n::DOUBLE - 4) * 8) END AS dense,
+  greatest(0, 100 - (components - 1) * 20) AS single, least(100, hubs / n::DOUBLE * 200) AS hub, l / e::DOUBLE * 100 AS ix FROM b)
+SELECT floor(path * 0.30 + dense * 0.20 + single * 0.20 + hub * 0.15 + ix * 0.15 + 0.5)::BIGINT AS score, round(avg, 1) AS average_path, components, hubs FROM p""")
 def score_search(spark, d):
     return score.search(testgraph.load(spark, d))
 
@@ -423,7 +472,8 @@ _NAMED = "(SELECT DISTINCT p_name AS label, 'Part' AS type FROM part UNION ALL S
 
 @query(f"""WITH n AS (SELECT type || ':' || label AS id, label, type FROM {_NAMED} WHERE length(label) >= 2)
 SELECT a.id AS a, b.id AS b, round(CASE WHEN a.label = b.label THEN 1 ELSE 1 - levenshtein(a.label, b.label)::DOUBLE / greatest(length(a.label), length(b.label)) END, 6) AS score
-FROM n a JOIN n b ON a.id < b.id WHERE 4 * levenshtein(a.label, b.label) <= greatest(length(a.label), length(b.label))""")
+FROM n a JOIN n b ON a.id < b.id AND 4 * abs(length(a.label) - length(b.label)) <= greatest(length(a.label), length(b.label))
+WHERE 4 * levenshtein(a.label, b.label) <= greatest(length(a.label), length(b.label))""")
 def similar_labels(spark, d):
     t = {x: _table(spark, d, x) for x in ("part", "nation", "region")}
     n = spark.sql("SELECT type || ':' || label AS id, label, type FROM " + _NAMED.replace("FROM part", "FROM {part}").replace("FROM nation", "FROM {nation}").replace("FROM region", "FROM {region}"), **t)
@@ -671,17 +721,39 @@ def export_context(spark, d):
     return exports.context_text(testgraph.load(spark, d)).select("key", "part", "line")
 
 
-@query()
+@query(f"""WITH {BASE} SELECT id AS key, 0 AS part, ':' || {_local("id")} || ' a ' || CASE type WHEN 'Class' THEN 'owl:Class' WHEN 'Instance' THEN 'owl:NamedIndividual' ELSE 'rdfs:Datatype' END || ' .' AS line FROM nodes
+UNION ALL SELECT id, 1, ':' || {_local("id")} || ' rdfs:label "' || {_escaped("label")} || '" .' FROM nodes
+UNION ALL SELECT id, 2, ':' || {_local("id")} || ' rdfs:comment "' || {_escaped("description")} || '" .' FROM nodes WHERE description <> ''
+UNION ALL SELECT id, 3, ':' || {_local("id")} || ' :' || {_local("pk")} || ' "' || {_escaped("pv")} || '" .' FROM nodes WHERE pk IS NOT NULL
+UNION ALL SELECT source, 4, ':' || {_local("source")} || ' :' || {_local("label")} || ' :' || {_local("target")} || ' .' FROM edges""")
 def export_turtle(spark, d):
     return exports.turtle(testgraph.load(spark, d)).select("key", "part", "line")
 
 
-@query()
+@query(f"""WITH {NORM}, t AS (SELECT source AS id, target AS class FROM norm WHERE label = 'rdf:type' AND target IN (SELECT id FROM nodes WHERE type = 'Class')),
+rel AS (SELECT t.class, n.label AS path, count(DISTINCT x.class) AS n, min(x.class) AS one, count(*) FILTER (x.class IS NULL) AS untyped
+  FROM norm n JOIN t ON t.id = n.source LEFT JOIN t x ON x.id = n.target WHERE n.label <> 'rdf:type' GROUP BY ALL)
+SELECT id AS class, 'minCount' AS kind, 'rdfs:label' AS path, '1' AS value FROM nodes WHERE type = 'Class' UNION ALL SELECT DISTINCT class, 'datatype', pk, 'xsd:string' FROM t JOIN nodes USING (id) WHERE pk IS NOT NULL
+UNION ALL SELECT class, 'nodeKind', path, 'sh:IRI' FROM rel UNION ALL SELECT class, 'class', path, one FROM rel WHERE n = 1 AND untyped = 0""")
 def export_shapes(spark, d):
     return exports.shapes(_normal(spark, d))
 
 
-@query()
+@query(f"""WITH {NORM}, vocab(rdf, rdfs, owl, own) AS (VALUES ('{exports.RDF}', '{exports.RDFS}', '{exports.OWL}', '{exports.BASE}')),
+k AS (SELECT *, url_encode(replace(label, ' ', '_')) AS base, row_number() OVER (PARTITION BY url_encode(replace(label, ' ', '_')) ORDER BY id) AS k FROM nodes),
+n AS (SELECT id, label, type, description, pk, pv, '<' || own || CASE WHEN k = 1 THEN base WHEN base || '_' || k IN (SELECT base FROM k) THEN base || '_' || k || '_' || sha256(id)[1:12] ELSE base || '_' || k END || '>' AS iri FROM k, vocab),
+e AS (SELECT s.iri AS si, t.iri AS ti, relation, m.label, '<' || own || url_encode(replace(m.label, ' ', '_')) || '>' AS pi FROM norm m JOIN n s ON s.id = m.source JOIN n t ON t.id = m.target, vocab),
+used AS (SELECT DISTINCT relation, label, pi FROM e WHERE relation NOT IN ('rdf:type', 'rdfs:subClassOf', 'owl:equivalentClass', 'owl:sameAs', 'owl:disjointWith')),
+x(s, p, o) AS (
+  SELECT iri, '<' || rdf || 'type>', CASE type WHEN 'Literal' THEN '<' || rdfs || 'Datatype>' WHEN 'Instance' THEN '<' || owl || 'NamedIndividual>' ELSE '<' || owl || 'Class>' END FROM n, vocab
+  UNION SELECT iri, '<' || rdfs || 'label>', '"' || {_escaped("label")} || '"@en' FROM n, vocab
+  UNION SELECT iri, '<' || rdfs || 'comment>', '"' || {_escaped("description")} || '"@en' FROM n, vocab WHERE description <> ''
+  UNION SELECT iri, '<' || own || url_encode(pk) || '>', '"' || {_escaped("pv")} || '"' FROM n, vocab WHERE pk IS NOT NULL
+  UNION SELECT si, CASE relation WHEN 'rdf:type' THEN '<' || rdf || 'type>' WHEN 'rdfs:subClassOf' THEN '<' || rdfs || 'subClassOf>' WHEN 'owl:disjointWith' THEN '<' || owl || 'disjointWith>' ELSE pi END, ti FROM e, vocab
+  UNION SELECT pi, '<' || rdf || 'type>', '<' || owl || 'ObjectProperty>' FROM used, vocab UNION SELECT pi, '<' || rdfs || 'label>', '"' || label || '"@en' FROM used, vocab
+  UNION SELECT pi, '<' || rdf || 'type>', '<' || owl || 'TransitiveProperty>' FROM used, vocab WHERE relation IN ('part-of', 'located-in', 'precedes')
+  UNION SELECT pi, '<' || rdf || 'type>', '<' || owl || 'SymmetricProperty>' FROM used, vocab WHERE relation = 'related-to')
+SELECT s || ' ' || p || ' ' || o || ' .' AS value FROM x""")
 def export_triples(spark, d):
     return exports.ntriples(exports.to_triples(testgraph.load(spark, d)))
 
@@ -736,14 +808,20 @@ def shape_class(spark, d):
 # Layout and events
 
 
-@query()
+@query(f"""WITH {BASE}, {_DEGREE}, k AS (SELECT id, CASE type WHEN 'Instance' THEN 2 WHEN 'Literal' THEN 3 ELSE 1 END AS tier, degree FROM nodes JOIN deg USING (id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY degree DESC, id) - 1 AS k FROM k), s AS (SELECT tier, (count(*) + 7) // 8 AS rows FROM k GROUP BY tier)
+SELECT id, (80 + k % 8 * 220)::DOUBLE AS x, (80 + ((SELECT coalesce(sum(rows), 0) FROM s WHERE s.tier < r.tier) + k // 8) * 160)::DOUBLE AS y FROM r""")
 def layout_tiered(spark, d):
     return layout.tiered(testgraph.load(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BASE}, {_DEGREE}, {_STEPS}, hub AS MATERIALIZED (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1), {_distances("SELECT id, id, 0 FROM hub")},
+n AS (SELECT nodes.id, coalesce(far.k, (SELECT max(k) FROM far) + 1) AS level FROM nodes LEFT JOIN far ON far.id = nodes.id),
+a AS (SELECT id, level, (row_number() OVER (PARTITION BY level ORDER BY id) - 1) * 2 * pi() / count(*) OVER (PARTITION BY level) AS angle FROM n)
+SELECT id, CASE WHEN abs(x) < 0.00005 THEN 0 ELSE round(x, 4) END AS x, CASE WHEN abs(y) < 0.00005 THEN 0 ELSE round(y, 4) END AS y
+FROM (SELECT id, level * 220 * cos(angle) AS x, level * 220 * sin(angle) AS y FROM a)""")
 def layout_radial(spark, d):
-    return layout.radial(testgraph.load(spark, d))
+    return layout.radial(testgraph.load(spark, d)).select("id", *(F.when(F.abs(c) < 0.00005, 0.0).otherwise(F.round(c, 4)).alias(c) for c in ("x", "y")))  # no negative zero
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
