@@ -16,6 +16,7 @@ from kgspark.operators.reason import closure, stats
 from kgspark.plans import patterns, testgraph
 from kgspark.plans.graph import Graph, cut, graph
 from kgspark.sinks import exports
+from kgspark.sources import rdf
 from kgspark.sources.graphs import csv_graph
 from kgspark.streaming.ingest import event_windows
 
@@ -725,11 +726,26 @@ def export_context(spark, d):
 UNION ALL SELECT id, 1, ':' || {_local("id")} || ' rdfs:label "' || {_escaped("label")} || '" .' FROM nodes
 UNION ALL SELECT id, 2, ':' || {_local("id")} || ' rdfs:comment "' || {_escaped("description")} || '" .' FROM nodes WHERE description <> ''
 UNION ALL SELECT id, 3, ':' || {_local("id")} || ' :' || {_local("pk")} || ' "' || {_escaped("pv")} || '" .' FROM nodes WHERE pk IS NOT NULL
-UNION ALL SELECT source, 4, ':' || {_local("source")} || ' :' || {_local("label")} || ' :' || {_local("target")} || ' .' FROM edges""")
+UNION ALL SELECT source, 4, ':' || {_local("source")} || ' :' || {_local("label")} || ' :' || {_local("target")} || ' .' FROM edges
+UNION ALL SELECT '', 0, unnest(['@prefix : <{exports.BASE}> .', '@prefix owl: <{exports.OWL}> .', '@prefix rdf: <{exports.RDF}> .', '@prefix rdfs: <{exports.RDFS}> .'])""")
 def export_turtle(spark, d):
     return exports.turtle(testgraph.load(spark, d)).select("key", "part", "line")
 
 
+@query(f"""WITH {BASE}, x(s, p, o, literal) AS (
+  SELECT id, '{exports.RDF}type', CASE type WHEN 'Class' THEN '{exports.OWL}Class' WHEN 'Instance' THEN '{exports.OWL}NamedIndividual' ELSE '{exports.RDFS}Datatype' END, false FROM nodes
+  UNION ALL SELECT id, '{exports.RDFS}label', label, true FROM nodes UNION ALL SELECT id, '{exports.RDFS}comment', description, true FROM nodes WHERE description <> ''
+  UNION ALL SELECT id, '{exports.BASE}' || {_local("pk")}, pv, true FROM nodes WHERE pk IS NOT NULL
+  UNION ALL SELECT source, '{exports.BASE}' || {_local("label")}, '{exports.BASE}' || {_local("target")}, false FROM edges)
+SELECT '{exports.BASE}' || {_local("s")} AS s, p, o, literal FROM x""")
+def import_turtle(spark, d):
+    """Turtle of the graph read back, every statement a document of its own under the prefixes."""
+    lines = exports.turtle(testgraph.load(spark, d))
+    head = lines.where("section = 0").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("head"))
+    docs = lines.where("section > 0").join(F.broadcast(head)).select(F.col("key").alias("path"), F.concat_ws("\n", "head", "line").alias("text"))
+    return rdf.parsed(docs, rdf.turtle_triples).select("s", "p", "o", "literal")
+
+
 @query(f"""WITH {NORM}, t AS (SELECT source AS id, target AS class FROM norm WHERE label = 'rdf:type' AND target IN (SELECT id FROM nodes WHERE type = 'Class')),
 rel AS (SELECT t.class, n.label AS path, count(DISTINCT x.class) AS n, min(x.class) AS one, count(*) FILTER (x.class IS NULL) AS untyped
   FROM norm n JOIN t ON t.id = n.source LEFT JOIN t x ON x.id = n.target WHERE n.label <> 'rdf:type' GROUP BY ALL)

@@ -154,11 +154,12 @@ def ntriples(triples: DataFrame) -> DataFrame:
 
 
 def turtle(g: Graph) -> DataFrame:
-    """One block of lines a node: type, label, comment, then its edges."""
+    """Prefixes, then one block of lines a node: type, label, comment, its edges."""
     name = lambda c: F.concat(F.lit(":"), local_name(c))
     kind = F.when(F.col("type") == "Class", "owl:Class").when(F.col("type") == "Instance", "owl:NamedIndividual").otherwise("rdfs:Datatype")
     n = g.nodes.where(F.col("type").isin("Class", "Instance", "Literal"))
-    out = _line(n, 1, "id", 0, F.concat(name("id"), F.lit(" a "), kind, F.lit(" .")))
+    head = g.spark.createDataFrame([(f"@prefix {k}: <{v}> .",) for k, v in (("", BASE), ("owl", OWL), ("rdf", RDF), ("rdfs", RDFS))], "line string")
+    out = _line(head, 0, None, 0, F.col("line")).union(_line(n, 1, "id", 0, F.concat(name("id"), F.lit(" a "), kind, F.lit(" ."))))
     out = out.union(_line(n, 1, "id", 1, F.concat(name("id"), F.lit(' rdfs:label "'), turtle_escape("label"), F.lit('" .'))))
     out = out.union(_line(n.where("coalesce(description, '') <> ''"), 1, "id", 2, F.concat(name("id"), F.lit(' rdfs:comment "'), turtle_escape("description"), F.lit('" .'))))
     p = n.select("id", F.explode("properties").alias("p"))
@@ -168,12 +169,17 @@ def turtle(g: Graph) -> DataFrame:
 
 
 def owl_xml(g: Graph) -> DataFrame:
+    """RDF/XML between its first and last line: a line a node with label, comment and properties, a line an edge."""
+    ends = g.spark.createDataFrame([(0, f'<rdf:RDF xmlns="{BASE}" xmlns:rdf="{RDF}" xmlns:rdfs="{RDFS}" xmlns:owl="{OWL}">'), (3, "</rdf:RDF>")], "section int, line string")
     tag = F.when(F.col("type") == "Class", "owl:Class").when(F.col("type") == "Instance", "owl:NamedIndividual").otherwise("rdfs:Datatype")
     n = g.nodes.where(F.col("type").isin("Class", "Instance", "Literal"))
-    line = F.concat(F.lit("<"), tag, F.lit(f' rdf:about="{BASE}'), xml_escape(iri_local("id")), F.lit('"><rdfs:label>'), xml_escape("label"), F.lit("</rdfs:label></"), tag, F.lit(">"))
+    about = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("<rdfs:comment>"), xml_escape("description"), F.lit("</rdfs:comment>"))).otherwise(F.lit(""))
+    said = F.transform(F.coalesce("properties", F.array().cast("array<struct<key:string,value:string>>")), lambda p: F.concat(F.lit("<"), local_name(p["key"]), F.lit(">"), xml_escape(p["value"]), F.lit("</"), local_name(p["key"]), F.lit(">")))
+    line = F.concat(F.lit("<"), tag, F.lit(f' rdf:about="{BASE}'), xml_escape(iri_local("id")), F.lit('"><rdfs:label>'), xml_escape("label"), F.lit("</rdfs:label>"), about, F.array_join(said, ""), F.lit("</"), tag, F.lit(">"))
     rel = F.when(F.col("label").isin(V.TYPE, V.SUBCLASS, V.EQUIVALENT, V.DISJOINT, V.SAME_AS), F.col("label")).otherwise(local_name("label"))
     edge = F.concat(F.lit(f'<rdf:Description rdf:about="{BASE}'), xml_escape(iri_local("source")), F.lit('"><'), rel, F.lit(f' rdf:resource="{BASE}'), xml_escape(iri_local("target")), F.lit('"/></rdf:Description>'))
-    return _line(n, 1, "id", 0, line).union(_line(g.direct(), 2, "id", 0, edge))
+    border = ends.select("section", F.lit("").alias("key"), F.lit(0).alias("part"), "line")
+    return border.union(_line(n, 1, "id", 0, line)).union(_line(g.direct(), 2, "id", 0, edge))
 
 
 def sparql_texts(g: Graph) -> DataFrame:

@@ -106,8 +106,11 @@ EXACT = "http://www.w3.org/2004/02/skos/core#exactMatch"
 _SCHEMA_TYPES = tuple(OWL + x for x in ("ObjectProperty", "DatatypeProperty", "AnnotationProperty", "TransitiveProperty", "SymmetricProperty", "FunctionalProperty", "Ontology")) + (RDF + "Property",)
 
 
-def from_triples(triples: DataFrame) -> Graph:
-    """Nodes and edges of a triple table. Property and ontology declarations, predicates and W3C terms make no nodes."""
+def from_triples(triples: DataFrame, properties: bool = False) -> Graph:
+    """Nodes and edges of a triple table. Property and ontology declarations, predicates and W3C terms make no nodes.
+
+    With ``properties``, other literals become properties of their subjects, in the order of key and value.
+    """
     t = triples.select("s", "p", "o", "literal")
     is_type = F.col("p") == RDF + "type"
     schema = t.where(is_type & F.col("o").isin(*_SCHEMA_TYPES)).select(F.col("s").alias("id")).union(t.select("p")).distinct()
@@ -121,6 +124,9 @@ def from_triples(triples: DataFrame) -> Graph:
     )
     kind = F.when(F.col("datatype"), "Literal").when(F.col("class"), "Class").otherwise("Instance")
     nodes = ids.join(about, "id", "left").select("id", F.coalesce("label", iri_tail("id")).alias("label"), kind.alias("type"), F.coalesce("description", F.lit("")).alias("description"), "wikidata_id")
+    if properties:
+        said = t.where("literal").where(~w3("p")).groupBy(F.col("s").alias("id")).agg(F.array_sort(F.collect_set(F.struct(iri_tail("p").alias("key"), F.col("o").alias("value")))).alias("properties"))
+        nodes = nodes.join(said, "id", "left").withColumn("properties", F.coalesce("properties", F.array().cast(PROPERTY)))
     e = t.where(~F.col("literal") & ~F.col("p").isin(RDFS + "label", RDFS + "comment", EXACT))
     e = e.join(ids.withColumnRenamed("id", "s"), "s", "left_semi").join(ids.withColumnRenamed("id", "o"), "o", "left_semi")
     short = F.when(F.startswith("p", F.lit(RDF)), F.concat(F.lit("rdf:"), iri_tail("p"))).when(F.startswith("p", F.lit(RDFS)), F.concat(F.lit("rdfs:"), iri_tail("p"))).when(F.startswith("p", F.lit(OWL)), F.concat(F.lit("owl:"), iri_tail("p")))

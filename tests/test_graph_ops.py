@@ -1,5 +1,6 @@
 """Fixtures of the graph operators with exact expected rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgspark.functions import vocabulary as V
@@ -348,3 +349,41 @@ def test_core_mapping_searches_whole_chains_and_ends_on_cycles(spark):
     table = spark.createDataFrame([("P12", "top", False)], "id string, relation string, flipped boolean")
     got = retrieve.core_mapping(spark.createDataFrame(supers, "id string, super array<string>"), table).collect()
     assert {r["id"]: (r["relation"], r["distance"]) for r in got} == {f"P{k}": ("top", 12 - k) for k in range(13)}
+
+
+def test_turtle_and_rdfxml_round_trips(spark, tmp_path):
+    from kgspark.sources.rdf import rdfxml_graph, rdfxml_triples, turtle_graph, turtle_triples
+
+    n = spark.createDataFrame(
+        [("Lamp", "desk lamp", "Class", 'gives "light" & <warmth>', [("maker", "A\\B\nC")]), ("L1", "lamp 1", "Instance", "", []), ("v", "40 W", "Literal", None, None)],
+        "id string, label string, type string, description string, properties array<struct<key:string,value:string>>",
+    )
+    e = spark.createDataFrame([("a", "L1", "Lamp", "rdf:type"), ("b", "L1", "v", "draws power")], "id string, source string, target string, label string")
+    g = graph(n, e)
+    for lines, read in ((exports.turtle(g), turtle_graph), (exports.owl_xml(g), rdfxml_graph)):
+        (tmp_path / read.__name__).write_text("\n".join(r["line"] for r in lines.orderBy("section", "key", "part", "line").collect()))
+        (tmp_path / (read.__name__ + ".empty")).write_text("")
+        back = read(spark, str(tmp_path / (read.__name__ + "*")))
+        tail = lambda x: x.split("#")[1]
+        nodes = {(tail(r["id"]), r["label"], r["type"], r["description"], tuple(map(tuple, r["properties"]))) for r in back.nodes.collect()}
+        assert nodes == {("Lamp", "desk lamp", "Class", 'gives "light" & <warmth>', (("maker", "A\\B\nC"),)), ("L1", "lamp 1", "Instance", "", ()), ("v", "40 W", "Literal", "", ())}
+        assert {(tail(r["source"]), r["label"], tail(r["target"])) for r in back.edges.collect()} == {("L1", "rdf:type", "Lamp"), ("L1", "draws_power", "v")}
+
+    text = """@prefix x: <http://x.org/> . # a remark with . and ;
+    PREFIX y: <http://y.org/#>
+    x:a a y:K ; x:p x:b , "t\\u00e9\\"\\n"@fr , 'it' , 3.5 , -2 , true , "5"^^x:int ; x:q [ x:r x:c ; x:s [ ] ] .
+    <http://z.org/a#b> x:a.b \"\"\"two
+    "quoted" lines\"\"\" . x:broken . x:end x:p ( x:m x:n )"""
+    got = [t[:4] for t in turtle_triples(text, "f")]
+    x, b = "http://x.org/", [t[2] for t in turtle_triples(text, "f") if t[2].startswith("_:")]
+    assert got == [
+        (x + "a", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://y.org/#K", False), (x + "a", x + "p", x + "b", False), (x + "a", x + "p", 'té"\n', True),
+        (x + "a", x + "p", "it", True), (x + "a", x + "p", "3.5", True), (x + "a", x + "p", "-2", True), (x + "a", x + "p", "true", True), (x + "a", x + "p", "5", True),
+        (x + "a", x + "q", b[0], False), (b[0], x + "r", x + "c", False), (b[0], x + "s", b[1], False),
+        ("http://z.org/a#b", x + "a.b", 'two\n    "quoted" lines', True), (x + "end", x + "p", x + "m", False), (x + "end", x + "p", x + "n", False),
+    ]
+    assert [t[4] for t in turtle_triples(text, "f")][2] == "fr" and list(turtle_triples("@prefix", "f")) == [] == list(rdfxml_triples(" ", "f"))
+    xml = '<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:x="http://x.org/" xml:lang="de"><x:K r:about="http://x.org/a"><x:p><x:L r:nodeID="n"><x:q>ja</x:q></x:L></x:p></x:K></r:RDF>'
+    assert [(t[1].split("/")[-1], t[3], t[4]) for t in rdfxml_triples(xml, "f")] == [("22-rdf-syntax-ns#type", False, None), ("p", False, None), ("22-rdf-syntax-ns#type", False, None), ("q", True, "de")]
+    with pytest.raises(ValueError, match="f"):
+        list(rdfxml_triples("<a>", "f"))
