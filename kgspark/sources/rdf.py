@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
-from itertools import islice
+from itertools import chain, islice
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
@@ -152,10 +152,9 @@ def parsed(docs: DataFrame, read: Callable[[str, str], Iterator[Triple]]) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                rows = read(text or "", path or "")
-                while part := list(islice(rows, 10_000)):
-                    yield pd.DataFrame(part, columns=["s", "p", "o", "literal", "lang"], dtype=object)
+            rows = chain.from_iterable(read(text or "", path or "") for path, text in zip(batch["path"], batch["text"], strict=True))
+            while part := list(islice(rows, 10_000)):
+                yield pd.DataFrame(part, columns=["s", "p", "o", "literal", "lang"], dtype=object)
 
     return docs.select("path", "text").mapInPandas(run, TRIPLES)
 
