@@ -93,7 +93,23 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _cuts.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes copies that ``cut`` gave, once what is made from them is stored; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "cut_path", None)
+        if path in _cuts:
+            _cuts.remove(path)
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cuts_made() -> int:
@@ -103,11 +119,8 @@ def cuts_made() -> int:
 def clear(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
     """Deletes what ``cut`` has left in the shared folder, all of it or the copies from ``first`` to before ``last`` (as
     ``cuts_made`` counts them): to be called when the results made from it are written or no longer needed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in _cuts[first:last]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(spark, path)
     del _cuts[first:last]
 
 
