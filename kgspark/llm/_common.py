@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.plans.graph import components, cut
+from kgspark.plans.graph import components, cut, drop
 
-__all__ = ["connected", "cut", "map_columns", "table", "worker_state"]
+__all__ = ["connected", "cut", "drop", "map_columns", "table", "worker_state"]
 
 #: Rows of a batch that are Python objects at one time. Batches themselves are bounded by bytes, by Spark
 #: (spark.sql.execution.arrow.maxBytesPerBatch).

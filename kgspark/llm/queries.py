@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import audio, chat, decontam, jaccard, langid, lines, packing, pii, secrets, urlgraph
+from kgspark.llm import audio, chat, decontam, jaccard, langid, lines, lloyd, packing, pii, secrets, simhash, treaps, urlgraph
 from kgspark.llm._common import small_batches
 from kgspark.llm._common import table as stored
 
@@ -67,6 +67,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.digest(*lloyd.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -79,8 +91,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_lines": op9_lines,
         "op10_secrets": op10_secrets,
+        "op11_lloyd": op11_lloyd,
+        "op12_treaps": op12_treaps,
+        "op13_simhash": op13_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.SQL, "op5_jaccard": jaccard.SQL, "op6_urls": urlgraph.sql(), "op7_decontam": decontam.SQL, "op10_secrets": secrets.sql()}
+    return {
+        "op4_chat": chat.SQL,
+        "op5_jaccard": jaccard.SQL,
+        "op6_urls": urlgraph.sql(),
+        "op7_decontam": decontam.SQL,
+        "op10_secrets": secrets.sql(),
+        "op11_lloyd": lloyd.sql(),
+        "op12_treaps": treaps.SQL,
+    }
