@@ -32,6 +32,12 @@ def asserted(g: Graph) -> DataFrame:
     return e.groupBy(F.col("source").alias("s"), F.col("label").alias("p"), F.col("target").alias("o")).agg(first.alias("edge_id"))
 
 
+def asserted_facts(g: Graph) -> DataFrame:
+    """The asserted facts in the shape that ``closure`` gives."""
+    empty = F.lit(None).cast(FACT)
+    return asserted(g).select("s", "p", "o", F.lit(0).alias("round"), F.lit(None).cast("string").alias("rule"), empty.alias("p1"), empty.alias("p2"), "edge_id")
+
+
 def _compositions(g: Graph) -> DataFrame:
     fixed = [(p, p, p, "prp-trp") for p in V.TRANSITIVE] + [(a, b, c, "prp-spo2") for a, b, c in V.CHAINS]
     fixed += [(V.TYPE, V.SUBCLASS, V.TYPE, "cax-sco"), (V.TYPE, V.EQUIVALENT, V.TYPE, "cax-eqc")]
@@ -46,9 +52,8 @@ def closure(g: Graph, max_inferred: int | None = None) -> DataFrame:
     Asserted facts have round 0 and their edge; inferred ones the round, rule and premises of their first derivation
     (ties: least rule, then least premises). With ``max_inferred`` no round starts once that many facts are inferred.
     """
-    base = asserted(g)
+    base = known = asserted_facts(g)
     empty = F.lit(None).cast(FACT)
-    known = base.select("s", "p", "o", F.lit(0).alias("round"), F.lit(None).cast("string").alias("rule"), empty.alias("p1"), empty.alias("p2"), "edge_id")
     sup = (
         g.direct().where((F.col("relation") == V.CUSTOM) & (F.coalesce("super_relation", F.lit("")) != ""))
         .join(base.select(F.col("s").alias("source"), F.col("p").alias("label"), F.col("o").alias("target")), ["source", "label", "target"], "left_semi")
@@ -110,7 +115,7 @@ def _fresh(found: DataFrame, known: DataFrame, number: int) -> DataFrame:
 
 
 def fact_id(s, p, o):
-    return F.concat(F.lit("inf_"), F.substring(F.sha2(F.concat_ws("\x01", s, p, o), 256), 1, 16))
+    return F.concat(F.lit("inf_"), F.substring(F.sha2(F.concat_ws("\x01", s, p, o), 256), 1, 32))
 
 
 def materialize(g: Graph, facts: DataFrame) -> DataFrame:

@@ -339,6 +339,95 @@ def facts_about_customers(spark, d):
     return explore.facts_about(closure(g), ids, "located-in", "out", limit=None).select("s", "p", "o", "direction")
 
 
+#: Facts with the asserted edges that each rests on; in this graph every inferred fact has one such set. `told` has each
+#: step u → v with its best fact, after the order of the operator.
+_PROVED = f"""{CLOSURE},
+first AS MATERIALIZED (SELECT source AS s, label AS p, target AS o, min(id) AS id FROM norm WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes) GROUP BY ALL),
+way(s, p, o, es) AS (SELECT s, p, o, [id] FROM first WHERE p IN (SELECT p1 FROM comp) UNION ALL
+  SELECT t.s, c.p, f.o, list_append(t.es, f.id) FROM way t JOIN comp c ON c.p1 = t.p JOIN first f ON f.s = t.o AND f.p = c.p2),
+proved AS MATERIALIZED (SELECT s, p, o, [id] AS es, false AS inferred FROM first UNION ALL
+  SELECT s, p, o, min(es), true FROM way WHERE (s, p, o) NOT IN (SELECT s, p, o FROM first) GROUP BY s, p, o)"""
+_WALKED = "('located-in', 'part-of', 'member-of', 'produces')"
+_TOLD = f"""use AS MATERIALIZED (SELECT * FROM proved WHERE s <> o AND p IN {_WALKED}),
+told AS MATERIALIZED (SELECT u, v, CAST(best[1] AS INTEGER) AS inferred, CAST(best[2] AS INTEGER) AS backward FROM (
+  SELECT u, v, min([CAST(inferred AS VARCHAR), b, p, s, o]) AS best FROM (
+    SELECT s AS u, o AS v, inferred, '0' AS b, p, s, o FROM use UNION ALL SELECT o, s, inferred, '1', p, s, o FROM use) GROUP BY u, v))""".replace(
+    "CAST(inferred AS VARCHAR)", "CAST(CAST(inferred AS INTEGER) AS VARCHAR)"
+)
+
+
+def _walks(start: str, goal: str, hops: int) -> str:
+    """CTE walk: the simple paths from a node to nodes with a prefix."""
+    return f"""walk(here, path, inferred, backward) AS (SELECT '{start}', ['{start}'], 0, 0 UNION ALL
+  SELECT v, list_append(path, v), w.inferred + t.inferred, w.backward + t.backward FROM walk w JOIN told t ON u = here
+  WHERE len(path) <= {hops} AND NOT starts_with(here, '{goal}') AND NOT list_contains(path, v))"""
+
+
+def _explored(spark, d):
+    """The graph and its closure over the relations that paths are asked for."""
+    g = _normal(spark, d, "located-in", "part-of", "member-of", "produces")
+    return g, cut(closure(g))
+
+
+@query(f"""WITH RECURSIVE {_PROVED}, {_TOLD}, {_walks("nation:0", "mfgr:", 3)}
+SELECT array_to_string(path, ' ') AS path, len(path) - 1 AS hops, inferred AS inferred_steps, backward AS backward_steps, count(*) OVER () > 20 AS truncated
+FROM walk WHERE starts_with(here, 'mfgr:') ORDER BY len(path), inferred, backward, path LIMIT 20""")
+def paths_best(spark, d):
+    g, facts = _explored(spark, d)
+    source, targets = spark.createDataFrame([("nation:0",)], "id string"), g.nodes.where("id like 'mfgr:%'").select("id")
+    found = explore.paths(facts, source, targets, max_hops=3, max_paths=20)
+    return found.select(F.array_join("nodes", " ").alias("path"), "hops", "inferred_steps", "backward_steps", "truncated")
+
+
+@query(f"""WITH RECURSIVE {_PROVED}, {_TOLD}, {_walks("region:0", "mfgr:", 3)},
+best AS (SELECT path FROM walk WHERE starts_with(here, 'mfgr:') ORDER BY len(path), inferred, backward, path LIMIT 20),
+leg AS (SELECT path, path[k] AS u, path[k + 1] AS v FROM (SELECT path, unnest(range(1, len(path))) AS k FROM best)),
+ev AS (SELECT DISTINCT path, unnest(es) AS e FROM leg JOIN use ON (s = u AND o = v) OR (s = v AND o = u)),
+nd AS (SELECT path, unnest(path) AS n FROM best UNION SELECT path, source FROM ev JOIN norm ON id = e UNION SELECT path, target FROM ev JOIN norm ON id = e)
+SELECT array_to_string(path, ' ') AS path, string_agg(e, ' ' ORDER BY e) AS evidence_edges,
+  (SELECT string_agg(n, ' ' ORDER BY n) FROM nd WHERE nd.path = ev.path) AS evidence_nodes,
+  (SELECT string_agg(x, ' ' ORDER BY x) FROM (SELECT DISTINCT split_part(e, ':', 1) AS x FROM ev y WHERE y.path = ev.path)) AS sources
+FROM ev GROUP BY path""")
+def path_evidence(spark, d):
+    g, facts = _explored(spark, d)
+    source, targets = spark.createDataFrame([("region:0",)], "id string"), g.nodes.where("id like 'mfgr:%'").select("id")
+    found = cut(explore.paths(facts, source, targets, max_hops=3, max_paths=20))
+    lineage = g.edges.select(F.col("id").alias("edge_id"), F.split_part("id", F.lit(":"), F.lit(1)).alias("source_id"))
+    said = lambda c: F.array_join(F.sort_array(c), " ").alias(c)
+    return explore.path_evidence(found, facts, g.edges, lineage).select(F.array_join("nodes", " ").alias("path"), said("evidence_edges"), said("evidence_nodes"), said("sources"))
+
+
+@query(f"""WITH RECURSIVE {_PROVED} SELECT s, p, o, ln || ' ' || p || ' ' || lo AS statement, inferred, array_to_string(list_sort(es), ' ') AS evidence_edges,
+  CASE WHEN inferred THEN '' ELSE split_part(es[1], ':', 1) END AS sources
+FROM proved JOIN (SELECT id, label AS ln FROM nodes) a ON a.id = s JOIN (SELECT id, label AS lo FROM nodes) b ON b.id = o
+WHERE s <> o AND p IN ('located-in') AND (starts_with(s, 'nation:') OR starts_with(o, 'nation:'))""")
+def facts_with_evidence(spark, d):
+    g = _normal(spark, d, "located-in", "part-of")
+    facts = cut(closure(g))
+    about = explore.facts_about(facts, g.nodes.where("id like 'nation:%'").select("id"), "located-in", limit=None)
+    lineage = g.edges.select(F.col("id").alias("edge_id"), F.split_part("id", F.lit(":"), F.lit(1)).alias("source_id"))
+    full = explore.fact_evidence(about, facts, g.nodes, lineage)
+    return full.select("s", "p", "o", "statement", "inferred", F.array_join("evidence_edges", " ").alias("evidence_edges"), F.array_join("sources", " ").alias("sources"))
+
+
+@query(f"""WITH RECURSIVE {CLOSURE} SELECT s, p, o, (s, p, o) NOT IN (SELECT s, p, o FROM fact0) AS inferred, 'in' AS direction
+FROM fact WHERE starts_with(o, 'region:') AND p = 'located-in' AND s <> o""")
+def facts_into_regions(spark, d):
+    g = _normal(spark, d, "located-in", "part-of")
+    ids = g.nodes.where("id like 'region:%'").select("id")
+    return explore.facts_about(cut(closure(g)), ids, None, "in", limit=None).select("s", "p", "o", "inferred", "direction")
+
+
+@query(f"""WITH RECURSIVE {CLOSURE}, f AS (SELECT * FROM fact WHERE s <> o AND p IN ('located-in', 'owl:disjointWith', 'related-to') AND
+  NOT (p IN ('owl:disjointWith', 'related-to') AND (s, p, o) NOT IN (SELECT s, p, o FROM fact0)))
+SELECT s, p, o, CASE WHEN p <> 'located-in' THEN 'symmetric' WHEN starts_with(s, 'nation:') THEN 'out' ELSE 'in' END AS direction
+FROM f WHERE s LIKE 'nation:%' OR o LIKE 'nation:%' OR s LIKE 'seg:%' OR o LIKE 'seg:%'""")
+def facts_both_ways(spark, d):
+    g = _normal(spark, d, "located-in", "part-of", "owl:disjointWith", "related-to")
+    ids = g.nodes.where("id like 'nation:%' or id like 'seg:%'").select("id")
+    return explore.facts_about(cut(closure(g)), ids, None, "both", limit=None).select("s", "p", "o", "direction")
+
+
 @query(f"""WITH {BASE}, q(query) AS (VALUES ('EUROPE'), ('region:0'), ('Customer'), ('building'), ('maker of'), ('nowhere')),
 h AS (SELECT query, id, 0 AS tier FROM q JOIN nodes ON id = query
   UNION SELECT query, id, 1 FROM q JOIN nodes ON regexp_replace(lower(trim(label)), '[\\s_\\-·]+', ' ', 'g') = lower(query)
@@ -349,7 +438,7 @@ def resolve_nodes(spark, d):
     return explore.resolve(testgraph.load(spark, d).nodes, q)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PROVED} SELECT s, p, o, CAST(len(es) AS INTEGER) AS n_edges FROM proved WHERE p IN ('member-of', 'part-of', 'located-in')""")
 def evidence_edges(spark, d):
     g = _normal(spark, d, "member-of", "part-of", "located-in")
     return explore.evidence(cut(closure(g))).select("s", "p", "o", F.size("edges").alias("n_edges"))
