@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +85,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _cuts: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -93,6 +97,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _cuts.append(path)
+    if _scope.get() is not None:
+        _scope.get().append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -107,6 +113,21 @@ def drop(*tables: DataFrame) -> None:
             _delete(table.sparkSession, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``cut`` has written inside it, in this thread; for work whose results are stored by then."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in mine:
+            if path in _cuts:
+                _cuts.remove(path)
+                _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

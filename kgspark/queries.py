@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,12 @@ from kgspark.operators import graph as ga
 from kgspark.operators.normalize import normalize, resolve_labels, typed
 from kgspark.operators.reason import closure, stats
 from kgspark.plans import patterns, testgraph
-from kgspark.plans.graph import Graph, cut, graph
+from kgspark.plans.graph import Graph, checkpoint_dir, cut, graph
 from kgspark.sinks import exports
 from kgspark.sources import rdf
 from kgspark.sources.graphs import csv_graph
 from kgspark.streaming.ingest import event_windows
+from kgspark.streaming.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -710,15 +712,20 @@ def chunk_rows(spark, d):
 # Knowledge base
 
 
-def _two_sources(spark, d):
+def _two_graphs(spark, d):
     """Two graphs that share some labels: suppliers with their nations, and customers with theirs."""
     t = {x: _table(spark, d, x) for x in ("nation", "customer", "supplier")}
     n1 = spark.sql("SELECT 'n:' || n_nationkey AS id, n_name AS label, 'Instance' AS type, 'w' || n_nationkey AS wikidata_id FROM {nation} UNION ALL SELECT 's:' || s_suppkey, s_name, 'Instance', NULL FROM {supplier}", **t)
     e1 = spark.sql("SELECT 'e:' || s_suppkey AS id, 's:' || s_suppkey AS source, 'n:' || s_nationkey AS target, 'located in' AS label FROM {supplier}", **t)
     n2 = spark.sql("SELECT 'm:' || n_nationkey AS id, lower(n_name) AS label, 'Instance' AS type, NULL AS wikidata_id FROM {nation} UNION ALL SELECT 'c:' || c_custkey, c_name, 'Instance', NULL FROM {customer}", **t)
     e2 = spark.sql("SELECT 'e:' || c_custkey AS id, 'c:' || c_custkey AS source, 'm:' || c_nationkey AS target, 'is located in' AS label FROM {customer}", **t)
-    one = kb.ingest(kb.KnowledgeBase.empty(spark), graph(n1, e1), "one")
-    return one, kb.ingest(one.kb, graph(n2, e2), "two", created=1)
+    return graph(n1, e1), graph(n2, e2)
+
+
+def _two_sources(spark, d):
+    g1, g2 = _two_graphs(spark, d)
+    one = kb.ingest(kb.KnowledgeBase.empty(spark), g1, "one")
+    return one, kb.ingest(one.kb, g2, "two", created=1)
 
 
 @query("""SELECT (SELECT count(*) FROM customer)::BIGINT AS nodes_added, (SELECT count(*) FROM nation)::BIGINT AS nodes_merged, (SELECT count(*) FROM customer)::BIGINT AS edges_added, 0::BIGINT AS edges_existing, 0::BIGINT AS conflicts""")
@@ -737,6 +744,27 @@ def kb_delete_source(spark, d):
     return kb.stats(kb.delete_source(_two_sources(spark, d)[1].kb, "one"))
 
 
+@query("""SELECT n_name AS label, 'w' || n_nationkey AS wikidata_id, 'one' AS sources, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS degree FROM nation
+UNION ALL SELECT s_name, NULL, 'one', 1 FROM supplier
+UNION ALL SELECT c_name, NULL, 'three', (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) FROM customer
+UNION ALL SELECT 'Order ' || o_orderkey, NULL, 'three', 1 FROM orders""")
+def kb_store(spark, d):
+    """Three sources come into a delta store, the one in the middle is undone, and the deltas are compacted."""
+    store = Store(spark, f"{checkpoint_dir(spark)}/kb-{uuid.uuid4().hex}")
+    t = {x: _table(spark, d, x) for x in ("customer", "orders")}
+    n3 = spark.sql("SELECT 'c:' || c_custkey AS id, c_name AS label, 'Instance' AS type FROM {customer} UNION ALL SELECT 'o:' || o_orderkey, 'Order ' || o_orderkey, 'Instance' FROM {orders}", **t)
+    e3 = spark.sql("SELECT 'e:' || o_orderkey AS id, 'o:' || o_orderkey AS source, 'c:' || o_custkey AS target, 'belongs to' AS label FROM {orders}", **t)
+    one, two = _two_graphs(spark, d)
+    for k, (name, g) in enumerate((("one", one), ("two", two), ("three", graph(n3, e3)))):
+        store.ingest(g, name, created=k)
+    store.undo("two")
+    store.compact()
+    k = store.read()
+    src = k.node_sources.groupBy(F.col("node_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("source_id")), " ").alias("sources"))
+    ends = k.edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    return k.nodes.join(src, "id").join(ends, "id", "left").select("label", "wikidata_id", "sources", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
 @query("""SELECT n_name AS label, n_name = 'NATION_1' AS exact FROM nation WHERE n_name LIKE 'NATION^_1%' ESCAPE '^'""")
 def kb_search(spark, d):
     return kb.search(_two_sources(spark, d)[0].kb, "Nation 1").select("label", "exact")

@@ -322,17 +322,6 @@ def test_patterns(spark):
     assert {r["x"] for r in patterns.select(t, [("?x", "p", "?y")], minus=[[("?x", "q", "?z")]]).collect()} == {"b", "c"}
 
 
-def test_stream_ingest_is_replayable(spark, tmp_path):
-    from kgspark.streaming import ingest as si
-
-    rows = [("node", "1", "A", "Instance", None, None), ("node", "2", "B", "Instance", None, None), ("edge", "e", "part of", None, "1", "2")]
-    spark.createDataFrame(rows, si.ROW).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(si.ROW).parquet(str(tmp_path / "in"))
-    si.start(stream, str(tmp_path / "kb"), str(tmp_path / "cp")).awaitTermination()
-    k = si.current(spark, str(tmp_path / "kb"), 1)
-    assert (k.nodes.count(), k.edges.count(), k.sources.count()) == (2, 1, 1)
-
-
 def test_graph_with_shared_result_under_other_partitioning(spark):
     g = port(spark)
     a = triples(closure(normalize(g)))
