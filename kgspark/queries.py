@@ -661,6 +661,34 @@ def tfidf_scores(spark, d):
     return found.select("query", "doc_id", F.round(F.round("score", 9), 4).alias("score"))
 
 
+def _part_names(spark, d):
+    part = _table(spark, d, "part")
+    docs = part.select(F.col("p_partkey").alias("doc_id"), F.array("p_name").alias("names"), F.concat_ws(" ", "p_type", "p_brand").alias("description"))
+    return docs, part.select(F.col("p_type").alias("query")).distinct()
+
+
+@query(f"""WITH {_GRAMS}, sc AS (SELECT query, doc_id, round(sum(dv.w * qv.w), 9) AS score FROM dv JOIN qv USING (gram) GROUP BY query, doc_id)
+SELECT query, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 5""")
+def lexical_topk(spark, d):
+    return retrieve.search(*_part_names(spark, d), k=5).select("query", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {_GRAMS}, sc AS (SELECT query, doc_id, sum(dv.w * qv.w) AS lex FROM dv JOIN qv USING (gram) GROUP BY query, doc_id),
+u AS (SELECT vec_id, embedding AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9 AS n FROM embeddings),
+f AS (SELECT p_type AS query, min(p_partkey) AS k FROM part GROUP BY p_type),
+de AS (SELECT query, x.vec_id AS doc_id, list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (x.n * y.n) AS dense
+  FROM u x, f JOIN u y ON y.vec_id = k),
+h AS (SELECT coalesce(sc.query, de.query) AS query, coalesce(sc.doc_id, de.doc_id) AS doc_id, round(0.4 * coalesce(lex, 0) + 0.6 * coalesce(dense, 0), 9) AS score
+  FROM sc FULL JOIN de ON sc.query = de.query AND sc.doc_id = de.doc_id)
+SELECT query, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 5""")
+def hybrid_topk(spark, d):
+    docs, queries = _part_names(spark, d)
+    vectors = _table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    first = _table(spark, d, "part").groupBy(F.col("p_type").alias("query")).agg(F.min("p_partkey").alias("doc_id"))
+    den = retrieve.dense(vectors, first.join(vectors, "doc_id").select("query", "vector"))
+    return retrieve.search(docs, queries, 5, den).select("query", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("""WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query, vec_id AS doc_id, list_sum(list_transform(list_zip(embedding, v), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))
   / ((sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9) * (sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9)) AS score FROM embeddings, q)
