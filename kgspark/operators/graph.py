@@ -79,24 +79,52 @@ def induced(g: Graph, ids: DataFrame) -> Graph:
     return Graph(g.nodes.join(ids, "id", "left_semi"), e.select(*g.edges.columns))
 
 
+def _meet(steps: DataFrame, source: str, target: str) -> tuple[list[DataFrame], list[DataFrame]] | None:
+    """Breadth-first levels (id) from both ends until they meet: the smaller of the two frontiers grows. None: they never do.
+
+    The last levels of the two sides then hold the same node for each shortest path.
+    """
+    spark = steps.sparkSession
+    sides = [[cut(spark.createDataFrame([(end,)], "id string"))] for end in (source, target)]
+    seen, size = [sides[0][0], sides[1][0]], [1, 1]
+    while True:
+        k = 0 if size[0] <= size[1] else 1
+        near = sides[k][-1].join(steps, F.col("id") == F.col("u")).select(F.col("v").alias("id")).distinct()
+        new = cut(near.join(seen[k], "id", "left_anti"))
+        size[k] = new.count()
+        if not size[k]:
+            return None
+        sides[k].append(new)
+        seen[k] = cut(seen[k].union(new)) if len(sides[k]) % 6 == 0 else seen[k].union(new)
+        if not new.join(sides[1 - k][-1], "id", "left_semi").isEmpty():
+            return sides[0], sides[1]
+
+
 def shortest_path(g: Graph, source: str, target: str) -> DataFrame:
     """One row with ``path``, a shortest undirected path (ties: least ids from the target back); none if unconnected.
 
-    Breadth-first distances from the source, then one step back a level.
+    The search goes from both ends, so it sees two balls of half the length and not the whole component. From where they
+    meet, the target's side is thinned to the nodes that lie on a shortest path; then one step a level is taken.
     """
     spark = g.spark
     if source == target:
         return g.nodes.where(F.col("id") == source).select(F.array("id").alias("path")).limit(1)
-    dist = cut(distances(g, spark.createDataFrame([(source,)], "id string")))
-    end = dist.where(F.col("id") == target).select("distance").head()
-    path = dist.where(F.col("id") == target).select(F.col("id").alias("at"), F.array("id").alias("path"), "distance")
     steps = neighbours(g.edges)
-    for _ in range(end["distance"] if end else 0):
-        back = path.join(steps, path["at"] == steps["u"]).join(
-            dist.select(F.col("id").alias("v"), F.col("distance").alias("d")), "v"
-        ).where("d = distance - 1")
-        path = cut(back.orderBy("v").limit(1).select(F.col("v").alias("at"), F.concat(F.array("v"), "path").alias("path"), F.col("d").alias("distance")))
-    return path.select("path")
+    met = _meet(steps, source, target)
+    if met is None:
+        return spark.createDataFrame([], "path array<string>")
+    ahead, back = met
+    good = [cut(back[-1].join(ahead[-1], "id", "left_semi"))]
+    for level in reversed(back[1:-1]):
+        on = good[-1].join(steps, F.col("id") == F.col("u")).select(F.col("v").alias("id"))
+        good.append(cut(level.join(on, "id", "left_semi")))
+    # A target without a level of its own is the meeting point.
+    ways = [*reversed(good), *reversed(ahead[:-1])] if len(back) > 1 else list(reversed(ahead[:-1]))
+    path = [target]
+    for level in ways:
+        near = steps.where(F.col("u") == path[-1]).select(F.col("v").alias("id"))
+        path.append(level.join(near, "id", "left_semi").agg(F.min("id")).head()[0])
+    return spark.createDataFrame([(path[::-1],)], "path array<string>")
 
 
 def connected_components(g: Graph, edges: DataFrame | None = None) -> DataFrame:

@@ -299,6 +299,17 @@ def shortest_path_length(spark, d):
     return ga.shortest_path(g, "region:0", "mfgr:Brand#1").select(F.size("path").alias("n_nodes"))
 
 
+@query(f"""WITH RECURSIVE {BASE}, st AS MATERIALIZED (SELECT source AS u, target AS v FROM edges UNION SELECT target, source FROM edges),
+r(id, k) AS (SELECT 'cust:1', 0 UNION SELECT v, k + 1 FROM r JOIN st ON u = r.id WHERE k < 8 AND NOT EXISTS (SELECT 1 FROM r x WHERE x.id = v)),
+dist AS MATERIALIZED (SELECT id, min(k) AS k FROM r GROUP BY id),
+back(here, d, path) AS (SELECT id, k, [id] FROM dist WHERE id = 'mfgr:Brand#1' UNION ALL
+  SELECT any_value(n.v), any_value(d) - 1, list_prepend(any_value(n.v), any_value(path)) FROM (
+    SELECT st.v, back.d, back.path FROM back JOIN st ON st.u = back.here JOIN dist ON dist.id = st.v AND dist.k = back.d - 1 ORDER BY st.v LIMIT 1) n HAVING count(*) > 0)
+SELECT array_to_string(path, ' ') AS path FROM back WHERE d = 0""")
+def shortest_path_nodes(spark, d):
+    return ga.shortest_path(testgraph.load(spark, d), "cust:1", "mfgr:Brand#1").select(F.array_join("path", " ").alias("path"))
+
+
 @query(f"""WITH RECURSIVE {BASE}, ok AS (SELECT source AS u, target AS v FROM edges WHERE label = 'component of' OR label LIKE '%member%'),
 st AS (SELECT u, v FROM ok UNION SELECT v, u FROM ok), r(a, b) AS (SELECT u, u FROM st UNION SELECT r.a, v FROM r JOIN st ON u = r.b)
 SELECT n.id, coalesce((SELECT min(b) FROM r WHERE r.a = n.id), n.id) AS component FROM nodes n""")
