@@ -158,7 +158,7 @@ def _validated(spark, d):
     g = testgraph.load(spark, d)
     n = Graph(g.nodes, cut(normalize(g).edges))
     facts = cut(closure(n))
-    return n, facts, validate.validate(g, n, facts)
+    return n, facts, validate.report(g, n, facts)[0]
 
 
 @query(f"""WITH RECURSIVE {_ISSUES} SELECT (SELECT count(*) FROM norm) AS direct,
@@ -246,6 +246,27 @@ def validate_relations(spark, d):
     return _issues(validate.downgraded(g).union(validate.custom(g)))
 
 
+@query(f"""WITH {NORM}, used AS MATERIALIZED (SELECT source AS id FROM norm UNION SELECT target FROM norm)
+SELECT 'duplicate_edge' AS code, 'edge' AS role, id, id AS name FROM edges WHERE source <> target AND id NOT IN (SELECT id FROM norm)
+UNION ALL SELECT 'orphan_node', 'node', id, id FROM nodes ANTI JOIN used USING (id)
+UNION ALL SELECT 'custom_relation', 'edge', id, label FROM norm WHERE relation = 'custom'""")
+def issue_members(spark, d):
+    g = testgraph.load(spark, d)
+    return validate.wide_members(g, Graph(g.nodes, cut(normalize(g).edges)))
+
+
+@query(f"""WITH RECURSIVE {_ISSUES}, used AS MATERIALIZED (SELECT source AS id FROM norm UNION SELECT target FROM norm),
+lost AS (SELECT count(*) AS n, (SELECT string_agg(id, ', ' ORDER BY id) FROM (SELECT id FROM nodes ANTI JOIN used USING (id) ORDER BY id LIMIT 8)) AS first FROM nodes ANTI JOIN used USING (id)),
+own AS (SELECT count(*) AS n, count(DISTINCT label) AS k, string_agg(DISTINCT label, ', ' ORDER BY label) AS first FROM norm WHERE relation = 'custom'),
+gone AS (SELECT count(*) AS n FROM edges WHERE source <> target AND id NOT IN (SELECT id FROM norm))
+SELECT 'warn' AS severity, 'orphan_node' AS code, n || ' unconnected nodes: ' || first AS message, n AS n_nodes, 0 AS n_edges FROM lost WHERE n > 0
+UNION ALL SELECT 'info', 'custom_relation', k || ' relations: ' || first, 0, n FROM own WHERE n > 0
+UNION ALL SELECT 'warn', 'duplicate_edge', n || ' edges repeat others', 0, n FROM gone WHERE n > 0""")
+def issue_counts(spark, d):
+    g = testgraph.load(spark, d)
+    return validate._wide(validate.wide_members(g, Graph(g.nodes, cut(normalize(g).edges))))
+
+
 @query(f"""WITH RECURSIVE {_ISSUES}, x AS (
   SELECT coalesce(sum(weight) FILTER (severity = 'error'), 0)::BIGINT AS errors, coalesce(sum(weight) FILTER (severity = 'warn'), 0)::BIGINT AS warnings FROM one)
 SELECT errors, warnings, 15 * errors + 3 * warnings AS penalty, greatest(0, 100 - 15 * errors - 3 * warnings) AS quality FROM x""")
