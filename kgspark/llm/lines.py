@@ -233,9 +233,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     whole lines), removed_chars, removed_spans (start:end, comma-joined, of the original text), keep_docs (sorted ids
     of the documents that keep what was removed).
     """
-    grouped = repeats(docs).groupBy("doc_id", "key").agg(
-        F.collect_list("hi").alias("hi"), F.collect_list("lo").alias("lo"), F.collect_list("keep_doc").alias("keep")
-    )
+    # A set: rows that repeat a document give its digests once.
+    grouped = repeats(docs).groupBy("doc_id", "key").agg(F.collect_set(F.struct("hi", "lo", "keep_doc")).alias("units"))
+    grouped = grouped.select("doc_id", "key", F.col("units.hi").alias("hi"), F.col("units.lo").alias("lo"), F.col("units.keep_doc").alias("keep"))
 
     def make():
         table = WordTable()

@@ -241,3 +241,20 @@ def test_treap_traversal_skips_most_postings():
         depth += 1
         level = [c for x in level for c in (flat.left[x], flat.right[x]) if c >= 0]
     assert depth < 60
+
+
+# Line dedup: rows that repeat
+
+
+def test_lines_of_many_equal_rows(spark):
+    """20,000 equal rows of one document behind another one: each loses its lines, and no row holds them 20,000 times."""
+    from kgspark.llm import lines
+
+    text = "\n".join(f"line number {k} of the stock text here" for k in range(21))
+    first = docs(spark, [(1, text)])
+    many = spark.range(20_000).select(F.lit(2).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    d = first.select("doc_id", "text").union(many)
+    grouped = lines.repeats(d)
+    assert grouped.distinct().count() == grouped.select("hi", "lo").distinct().count()
+    out = lines.dedup(d).groupBy("doc_id", "n_lines", F.length("text").alias("n")).count().collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n"], r["count"]) for r in out) == [(1, 0, len(text), 1), (2, 21, 0, 20_000)]
