@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
 from kgspark.functions import vocabulary as V
-from kgspark.operators import chunks, dedup, explore, kb, layout, merge, retrieve, rules, score, validate
+from kgspark.operators import chunks, dedup, explore, history, kb, layout, merge, retrieve, rules, score, validate
 from kgspark.operators import graph as ga
 from kgspark.operators.normalize import normalize, resolve_labels, typed
 from kgspark.operators.reason import closure, stats
@@ -951,6 +951,52 @@ def export_triples(spark, d):
     return exports.ntriples(exports.to_triples(testgraph.load(spark, d)))
 
 
+@query(f"""WITH {NORM}, vocab(rdf, rdfs, owl, own) AS (VALUES ('{exports.RDF}', '{exports.RDFS}', '{exports.OWL}', '{exports.BASE}')),
+p AS (SELECT DISTINCT 'http://www.wikidata.org/entity/P' || length(label) AS wd, '<' || own || 'ordered_by>' AS pi, '<' || own || 'inv-part-of>' AS inv, '<' || own || 'part-of>' AS su FROM norm, vocab WHERE label = 'ordered by'),
+x(s, p, o) AS (
+  SELECT pi, '<' || rdf || 'type>', '<' || owl || 'ObjectProperty>' FROM p, vocab UNION SELECT pi, '<' || rdfs || 'label>', '"ordered by"@en' FROM p, vocab
+  UNION SELECT pi, '<{exports.EXACT}>', '<' || wd || '>' FROM p UNION SELECT pi, '<' || rdf || 'type>', '<' || owl || 'TransitiveProperty>' FROM p, vocab
+  UNION SELECT pi, '<' || rdfs || 'subPropertyOf>', inv FROM p, vocab UNION SELECT inv, '<' || rdf || 'type>', '<' || owl || 'ObjectProperty>' FROM p, vocab
+  UNION SELECT inv, '<' || owl || 'inverseOf>', su FROM p, vocab UNION SELECT su, '<' || rdf || 'type>', '<' || owl || 'ObjectProperty>' FROM p, vocab
+  UNION SELECT su, '<' || rdfs || 'label>', '"part-of"@en' FROM p, vocab UNION SELECT su, '<' || rdf || 'type>', '<' || owl || 'TransitiveProperty>' FROM p, vocab
+  UNION SELECT '<' || own || replace(source, 'order:', 'Order_') || '>', pi, '<' || own || url_encode(replace(c_name, ' ', '_')) || '>' FROM p, vocab, norm JOIN customer ON target = 'cust:' || c_custkey WHERE label = 'ordered by')
+SELECT s || ' ' || p || ' ' || o || ' .' AS value FROM x""")
+def export_linked(spark, d):
+    """The relation of orders to customers, linked to a property and as the inverse of part-of: its edges and axioms."""
+    g = testgraph.load(spark, d)
+    e = g.edges.where("label = 'ordered by'")
+    link = F.struct(F.concat(F.lit("P"), F.length("label")).alias("id"), F.lit(None).cast("map<string,string>").alias("label"), F.lit(True).alias("transitive"), F.lit("rule").alias("method"))
+    e = e.withColumns({"wikidata": link, "super_relation": F.lit("part-of"), "super_inverse": F.lit(True)})
+    t = exports.to_triples(Graph(g.nodes, e))
+    mine = F.col("s").like("%#ordered_by") | F.col("s").like("%#inv-part-of") | F.col("s").like("%#part-of") | F.col("p").like("%#ordered_by")
+    return exports.ntriples(t.where(mine))
+
+
+# Edit history
+
+#: A customer's orders by date as edits of a graph of five nodes, the priorities; some orders stand for other actions.
+_ACTIONS = """SELECT CAST(o_custkey AS {text}) AS graph, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'undo' WHEN o_orderkey % 7 = 1 THEN 'redo' WHEN o_orderkey % 13 = 0 THEN 'snapshot' WHEN o_orderkey % 13 = 1 THEN 'restore' ELSE 'edit' END AS action,
+  'shot' AS name, o_orderpriority AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey AS {text}) END AS value FROM {orders}"""
+
+
+@query(f"""WITH RECURSIVE log AS MATERIALIZED ({_ACTIONS.format(text="VARCHAR", orders="orders")}),
+f(graph, seq, hist, k, shot) AS (
+  SELECT DISTINCT graph, 0::BIGINT, [MAP {{}}::MAP(VARCHAR, VARCHAR)], 1, NULL::MAP(VARCHAR, VARCHAR) FROM log UNION ALL
+  SELECT f.graph, l.seq,
+    CASE WHEN action = 'edit' THEN list_append(hist[1:k], map_concat(hist[k], MAP {{l.id: l.value}}))[-60:] WHEN action = 'restore' AND shot IS NOT NULL THEN list_append(hist[1:k], shot)[-60:] ELSE hist END,
+    CASE WHEN action = 'edit' OR (action = 'restore' AND shot IS NOT NULL) THEN least(k + 1, 60) WHEN action = 'undo' THEN greatest(k - 1, 1) WHEN action = 'redo' THEN least(k + 1, len(hist)) ELSE k END,
+    CASE WHEN action = 'snapshot' THEN hist[k] ELSE shot END
+  FROM f JOIN log l ON l.graph = f.graph AND l.seq = f.seq + 1),
+last AS (SELECT graph, arg_max(hist[k], seq) AS m FROM f GROUP BY graph)
+SELECT graph, e.key AS id, e.value AS value FROM (SELECT graph, unnest(map_entries(m)) AS e FROM last) WHERE e.value IS NOT NULL""")
+def history_versions(spark, d):
+    log = spark.sql(_ACTIONS.format(text="STRING", orders="{orders}"), orders=_table(spark, d, "orders"))
+    log = cut(log)
+    changes = log.where("action = 'edit'").select("graph", "seq", F.lit("node").alias("element"), "id", "value")
+    return history.version(cut(history.resolve(log)), changes).select("graph", "id", "value")
+
+
 # Patterns and shapes
 
 

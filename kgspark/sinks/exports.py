@@ -143,8 +143,28 @@ def to_triples(g: Graph, include_inferred: bool = False) -> DataFrame:
     out = out.union(row(used.select("pi", "label").distinct(), F.col("pi"), RDFS + "label", F.col("label"), True, language("label")))
     out = out.union(row(used.where(F.col("relation").isin(*V.TRANSITIVE)), F.col("pi"), RDF + "type", F.lit(OWL + "TransitiveProperty")))
     out = out.union(row(used.where(F.col("relation").isin(*V.SYMMETRIC)), F.col("pi"), RDF + "type", F.lit(OWL + "SymmetricProperty")))
-    sup = e.where("coalesce(super_relation, '') <> ''").select(own.alias("pi"), F.concat(F.lit(BASE), iri_local("super_relation")).alias("su")).distinct()
-    return out.union(row(sup, F.col("pi"), RDFS + "subPropertyOf", F.col("su"))).distinct()
+    return out.union(_linked(e.where(F.col("relation") == V.CUSTOM), own, row)).distinct()
+
+
+def _linked(e: DataFrame, own: Column, row) -> DataFrame:
+    """What relations outside the core vocabulary are linked to: a Wikidata property, and a core relation above them, with
+    its own axioms. A relation that is the inverse of a core one is below a helper, the inverse of that."""
+    links = e.select(own.alias("pi"), F.col("wikidata.id").alias("wd"), F.col("wikidata.transitive").alias("transitive")).where("coalesce(wd, '') <> ''").distinct()
+    core = [r.id for r in V.CORE if r.id not in V.BUILTIN]
+    sup = e.where(F.col("super_relation").isin(core)).select(own.alias("pi"), "super_relation", F.coalesce("super_inverse", F.lit(False)).alias("turned")).distinct()
+    up = lambda prefix: F.concat(F.lit(BASE), iri_local(F.concat(F.lit(prefix), F.col("super_relation"))))
+    plain, turned = sup.where("not turned"), sup.where("turned")
+    inv, su = up("inv-"), up("")
+    above = F.col("super_relation")
+    return (
+        row(links, F.col("pi"), EXACT, F.concat(F.lit(ENTITY), F.col("wd")))
+        .union(row(links.where("transitive"), F.col("pi"), RDF + "type", F.lit(OWL + "TransitiveProperty")))
+        .union(row(plain, F.col("pi"), RDFS + "subPropertyOf", su)).union(row(turned, F.col("pi"), RDFS + "subPropertyOf", inv))
+        .union(row(turned, inv, RDF + "type", F.lit(OWL + "ObjectProperty"))).union(row(turned, inv, OWL + "inverseOf", su))
+        .union(row(sup, su, RDF + "type", F.lit(OWL + "ObjectProperty"))).union(row(sup, su, RDFS + "label", above, True, language("super_relation")))
+        .union(row(sup.where(above.isin(*V.TRANSITIVE)), su, RDF + "type", F.lit(OWL + "TransitiveProperty")))
+        .union(row(sup.where(above.isin(*V.SYMMETRIC)), su, RDF + "type", F.lit(OWL + "SymmetricProperty")))
+    )
 
 
 def ntriples(triples: DataFrame) -> DataFrame:
