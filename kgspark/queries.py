@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
 from kgspark.functions import vocabulary as V
-from kgspark.operators import chunks, dedup, explore, history, kb, layout, merge, retrieve, rules, score, validate
+from kgspark.operators import chunks, dedup, evaluate, explore, history, kb, layout, merge, retrieve, rules, score, validate
 from kgspark.operators import graph as ga
 from kgspark.operators.normalize import normalize, resolve_labels, typed
 from kgspark.operators.reason import closure, stats
@@ -972,6 +972,52 @@ def export_linked(spark, d):
     return exports.ntriples(t.where(mine))
 
 
+# Evaluation
+
+#: Each line number is a run: what was shipped by a mode is right where the flags agree.
+_JUDGED = """SELECT CAST(l_linenumber % 3 AS {text}) AS run, l_linestatus AS method,
+  CASE l_returnflag WHEN 'N' THEN NULL ELSE {list}(l_returnflag) END AS accept,
+  CASE WHEN l_quantity < 10 THEN {list}() WHEN l_quantity < 25 THEN {list}('A') ELSE {list}('R', 'X') END AS got FROM {rows}"""
+_VERDICT = f"""v AS MATERIALIZED (SELECT *, CASE WHEN accept IS NOT NULL THEN CASE WHEN list_has_any(accept, got) THEN 'correct' WHEN len(got) > 0 THEN 'wrong' ELSE 'missed' END
+  WHEN len(got) > 0 THEN 'false link' ELSE 'abstained' END AS verdict FROM ({_JUDGED.format(text="VARCHAR", list="list_value", rows="lineitem")})),
+c AS (SELECT run, method, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'missed') AS missed,
+  count(*) FILTER (verdict = 'false link') AS false_link, count(*) FILTER (verdict = 'abstained') AS abstained FROM v GROUP BY GROUPING SETS ((run), (run, method), ())),
+m AS (SELECT *, round(100.0 * correct / nullif(correct + wrong + false_link, 0), 1)::DOUBLE AS precision, round(100.0 * correct / nullif(correct + wrong + missed, 0), 1)::DOUBLE AS recall,
+  round(100.0 * abstained / nullif(false_link + abstained, 0), 1)::DOUBLE AS abstention FROM c)"""
+
+
+def _judged(spark, d):
+    return evaluate.verdicts(spark.sql(_JUDGED.format(text="STRING", list="array", rows="{rows}"), rows=_table(spark, d, "lineitem")))
+
+
+@query(f"WITH {_VERDICT} SELECT run, method, precision, recall, abstention, correct, wrong, missed, false_link, abstained, correct + wrong + missed AS positives, false_link + abstained AS negatives FROM m")
+def eval_metrics(spark, d):
+    return evaluate.metrics(_judged(spark, d), [["run"], ["run", "method"], []]).drop("grouping")
+
+
+@query(f"""WITH {_VERDICT}, r AS (SELECT * FROM m WHERE run IS NOT NULL AND method IS NULL), l AS (
+  SELECT 'precision' AS metric, precision AS v FROM r UNION ALL SELECT 'recall', recall FROM r UNION ALL SELECT 'abstention', abstention FROM r)
+SELECT metric, round(avg(v), 1) AS mean, min(v) AS least, max(v) AS most, count(v) AS runs FROM l WHERE v IS NOT NULL GROUP BY metric""")
+def eval_over_runs(spark, d):
+    return evaluate.over_runs(evaluate.metrics(_judged(spark, d), [["run"]]))
+
+
+@query(f"""WITH RECURSIVE {CLOSURE}, ours AS (SELECT * FROM fact WHERE p IN ('located-in', 'part-of', 'member-of')),
+theirs AS (SELECT * FROM fact0 WHERE p IN ('located-in', 'part-of', 'member-of') UNION SELECT target, label, source FROM norm WHERE label = 'member-of'),
+d(side, s, p, o) AS (SELECT 'both', * FROM (SELECT * FROM ours INTERSECT SELECT * FROM theirs) UNION ALL SELECT 'extra', * FROM (SELECT * FROM ours EXCEPT SELECT * FROM theirs)
+  UNION ALL SELECT 'missing', * FROM (SELECT * FROM theirs EXCEPT SELECT * FROM ours)),
+g AS (SELECT p, grouping(p) = 1 AS total, count(*) FILTER (side = 'both') AS b, count(*) FILTER (side = 'extra') AS e, count(*) FILTER (side = 'missing') AS m FROM d GROUP BY GROUPING SETS ((p), ()))
+SELECT p, total, b AS both, e AS extra, m AS missing, round(100.0 * b / nullif(b + e, 0), 1)::DOUBLE AS soundness, round(100.0 * b / nullif(b + m, 0), 1)::DOUBLE AS completeness,
+  coalesce((SELECT string_agg(x, '; ' ORDER BY x) FROM (SELECT concat_ws(' ', side, s, d.p, o) AS x FROM d WHERE side <> 'both' AND (g.total OR d.p = g.p) ORDER BY x LIMIT 8)), '') AS examples FROM g""")
+def eval_fact_sets(spark, d):
+    """The closure against the asserted facts and turned memberships, as two reasoners would be compared."""
+    g = _normal(spark, d, "located-in", "part-of", "member-of")
+    facts = cut(closure(g))
+    turned = g.edges.where("label = 'member-of'").select(F.col("target").alias("s"), F.col("label").alias("p"), F.col("source").alias("o"))
+    theirs = facts.where("round = 0").select("s", "p", "o").union(turned)
+    return evaluate.agreement(evaluate.differences(facts, theirs)).withColumn("examples", F.array_join("examples", "; "))
+
+
 # Edit history
 
 #: A customer's orders by date as edits of a graph of five nodes, the priorities; some orders stand for other actions.
