@@ -176,6 +176,43 @@ def events_of(conversations: DataFrame) -> DataFrame:
     )
 
 
+#: Numbers that a turn has for its events in a made log.
+STRIDE = 8
+
+
+def log_of(conversations: DataFrame) -> DataFrame:
+    """A table of turns as the log that would have led to it, for trying the fold on given tables.
+
+    Turns are numbered in order (by turn, nulls first, then role and text), and each is a message of two to four events
+    with numbers of their own. By a hash of its place, a text was streamed in three deltas, one of them sent twice; or a
+    draft was streamed, regenerated and went on; or a draft was replaced by an edit; or a draft was deleted and the text
+    came afterwards. The role is named by the first event only.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    order = W.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), role, text)
+    rows = conversations.select("conv_id", role.alias("role"), text.alias("text"), F.row_number().over(order).cast("long").alias("n"))
+    third = F.ceil(F.length("text") / 3).cast("int")
+    part = lambda k: F.substring(F.col("text"), third * k + 1, third)
+    rest = F.substring(F.col("text"), third + 1, F.length("text"))
+    draft = F.concat(part(0), F.lit("..."))
+    event = lambda k, op, said: F.struct(F.lit(k).cast("long").alias("k"), F.lit(op).alias("op"), said.alias("text"))
+    kinds = (
+        [event(0, DELTA, part(0)), event(1, DELTA, part(1)), event(1, DELTA, part(1)), event(2, DELTA, part(2))],
+        [event(0, DELTA, draft), event(1, REGENERATE, part(0)), event(2, DELTA, rest)],
+        [event(0, DELTA, draft), event(1, EDIT, F.col("text"))],
+        [event(0, DELTA, draft), event(1, DELETE, F.lit("")), event(2, DELTA, F.col("text"))],
+    )
+    kind = F.pmod(F.xxhash64("conv_id", "n"), F.lit(len(kinds)))
+    told = F.when(kind == 0, F.array(*kinds[0]))
+    for k, events in enumerate(kinds[1:], 1):
+        told = told.when(kind == k, F.array(*events))
+    each = rows.select("conv_id", "n", "role", F.explode(told).alias("e"))
+    return each.select(
+        "conv_id", (F.col("n") * STRIDE + F.col("e.k")).alias("seq"), F.concat(F.lit("m"), F.col("n")).alias("message_id"), "e.op",
+        F.when(F.col("e.k") == 0, F.col("role")).alias("role"), "e.text",
+    )
+
+
 SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

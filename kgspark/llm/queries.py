@@ -40,7 +40,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    return chat.read_back(chat.render(chat.fold(chat.events_of(rows))))
+    return chat.read_back(chat.render(chat.fold(chat.log_of(rows))))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

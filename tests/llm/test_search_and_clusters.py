@@ -258,3 +258,19 @@ def test_lines_of_many_equal_rows(spark):
     assert grouped.distinct().count() == grouped.select("hi", "lo").distinct().count()
     out = lines.dedup(d).groupBy("doc_id", "n_lines", F.length("text").alias("n")).count().collect()
     assert sorted((r["doc_id"], r["n_lines"], r["n"], r["count"]) for r in out) == [(1, 0, len(text), 1), (2, 21, 0, 20_000)]
+
+
+# Chat: the log behind a table of turns
+
+
+def test_a_made_log_folds_to_its_turns(spark):
+    from kgspark.llm import chat
+
+    rnd = random.Random(12)
+    rows = [(c, rnd.choice([None, *range(9)]), rnd.choice(["user", "assistant", None]), rnd.choice([None, "", "a", "öß😀 <|x", LONG[:3000], "ab"])) for c in (1, 2, None) for _ in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.log_of(turns)
+    assert {r["op"] for r in log.select("op").distinct().collect()} == set(chat.OPS) and log.count() > 100 and log.distinct().count() < log.count()
+    told = lambda events: sorted(map(str, chat.read_back(chat.render(chat.fold(events))).collect()))
+    assert told(log.orderBy(F.rand(3))) == told(chat.events_of(turns))
+    assert log.limit(0).count() == 0 and chat.log_of(turns.limit(0)).count() == 0
