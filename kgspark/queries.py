@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
 from kgspark.functions import vocabulary as V
-from kgspark.operators import chunks, dedup, evaluate, explore, history, kb, layout, merge, retrieve, rules, score, validate
+from kgspark.operators import chunks, dedup, evaluate, explore, history, kb, layout, merge, retrieve, rules, score, shapes, validate
 from kgspark.operators import graph as ga
 from kgspark.operators.normalize import normalize, resolve_labels, typed
 from kgspark.operators.reason import closure, stats
@@ -1018,6 +1018,30 @@ def eval_fact_sets(spark, d):
     return evaluate.agreement(evaluate.differences(facts, theirs)).withColumn("examples", F.array_join("examples", "; "))
 
 
+# Shapes with inference
+
+
+@query(f"""WITH {NORM}, ty AS MATERIALIZED (SELECT source AS s, target AS c FROM norm WHERE label = 'rdf:type' UNION
+  SELECT m.source, k.target FROM norm m JOIN norm k ON k.source = m.target WHERE m.label = 'rdf:type' AND k.label = 'rdfs:subClassOf')
+SELECT 'cls:Customer' AS of, 'minCount' AS kind, 'uses' AS path, s AS focus, NULL AS value FROM ty WHERE c = 'cls:Customer' AND s NOT IN (SELECT source FROM norm WHERE label = 'uses')
+UNION ALL SELECT DISTINCT 'part-of', 'class', 'part-of', source, target FROM norm WHERE label = 'part-of' AND target NOT IN (SELECT s FROM ty WHERE c = 'cls:Customer')
+UNION ALL SELECT 'cls:Part', 'maxLength', 'rdfs:label', s, label FROM ty JOIN nodes ON id = s WHERE c = 'cls:Part' AND length(label) > 12
+UNION ALL SELECT DISTINCT 'has-property', 'maxInclusive', 'rdfs:label', id, label FROM nodes WHERE type = 'Literal' AND CAST(label AS INTEGER) > 40 AND id IN (SELECT target FROM norm WHERE label = 'has-property')""")
+def shape_report(spark, d):
+    """Shapes on types that only inference gives, on subjects and on objects of a relation."""
+    g = _normal(spark, d)
+    said = g.nodes.where("label is not null").select(
+        F.col("id").alias("s"), F.lit("rdfs:label").alias("p"), F.col("label").alias("o"), F.lit(True).alias("literal"), F.when(F.col("type") == "Literal", F.lit("xsd:integer")).alias("datatype")
+    )
+    edges = g.edges.select(F.col("source").alias("s"), F.col("label").alias("p"), F.col("target").alias("o"), F.lit(False).alias("literal"), F.lit(None).cast("string").alias("datatype"))
+    rules = [
+        ("class", "cls:Customer", "minCount", "uses", "1"), ("subjectsOf", "part-of", "class", "part-of", "cls:Customer"), ("class", "cls:Part", "maxLength", "rdfs:label", "12"),
+        ("objectsOf", "has-property", "datatype", "rdfs:label", "xsd:integer"), ("objectsOf", "has-property", "maxInclusive", "rdfs:label", "40"),
+    ]
+    found = shapes.results(said.union(edges), spark.createDataFrame(rules, "target string, of string, kind string, path string, value string"))
+    return found.select("of", "kind", "path", "focus", "value")
+
+
 # Edit history
 
 #: A customer's orders by date as edits of a graph of five nodes, the priorities; some orders stand for other actions.
