@@ -31,8 +31,10 @@ def normalize(g: Graph, words: DataFrame | None = None) -> Graph:
     """Canonical labels and directions, without empty ends, self loops and repeats; inferred edges pass through.
 
     Of equal edges the first by (pos, id) stays; for symmetric labels the two directions are equal. Applying it twice
-    changes nothing more.
+    changes nothing more: the first label that was rewritten and the last note stay with an edge.
     """
+    before = lambda c: F.nullif(F.col(c), F.lit("")) if c in g.edges.columns else F.lit(None).cast("string")
+    original = F.coalesce(before("original_label"), F.col("label"))
     rows = resolve_labels(typed(g.direct(), g.nodes), words)
     kept = [c for c in g.edges.columns if c not in ("source", "target", "label", "relation", "original_label", "normalization_note")]
     turned = rows.select(
@@ -41,8 +43,8 @@ def normalize(g: Graph, words: DataFrame | None = None) -> Graph:
         F.when(F.col("flipped"), F.col("source")).otherwise(F.col("target")).alias("target"),
         F.col("new_label").alias("label"),
         F.col("relation"),
-        F.when(relation_key("label") != relation_key("new_label"), F.col("label")).alias("original_label"),
-        F.col("note").alias("normalization_note"),
+        F.when(relation_key(original) != relation_key("new_label"), original).otherwise(before("original_label")).alias("original_label"),
+        F.coalesce(F.col("note"), before("normalization_note")).alias("normalization_note"),
     ).where("coalesce(source, '') <> '' and coalesce(target, '') <> '' and source <> target")
     both = F.col("label").isin(*V.SYMMETRIC)
     a = F.when(both, F.least("source", "target")).otherwise(F.col("source"))
