@@ -15,6 +15,7 @@ from kgspark.operators import graph as ga
 from kgspark.operators.normalize import normalize, resolve_labels, typed
 from kgspark.operators.reason import closure, stats
 from kgspark.plans import patterns, testgraph
+from kgspark.plans.finalize import Options, finalize
 from kgspark.plans.graph import Graph, checkpoint_dir, cut, graph
 from kgspark.sinks import exports
 from kgspark.sources import rdf
@@ -1070,6 +1071,42 @@ def history_versions(spark, d):
 # Patterns and shapes
 
 
+#: After NORM: the custom relation is linked and turned, an instance that parts belong to by is-a becomes a class, and edges
+#: without an end go.
+_FINAL = """final AS (
+  SELECT CASE WHEN raw = 'ordered by' THEN target ELSE source END AS source, CASE WHEN raw = 'ordered by' THEN source ELSE target END AS target,
+    CASE WHEN raw = 'ordered by' THEN 'produces' WHEN note LIKE 'is-a between%' THEN 'rdf:type' ELSE label END AS label,
+    CASE WHEN raw = 'ordered by' THEN 'P1' END AS linked
+  FROM norm WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+promoted AS (SELECT DISTINCT target AS id FROM norm WHERE note LIKE 'is-a between%')"""
+
+
+@query(f"""WITH {NORM}, {_FINAL} SELECT 'edge' AS what, source AS id, label AS is, target AS other, linked FROM final
+UNION ALL SELECT 'node', id, CASE WHEN id IN (SELECT id FROM promoted) THEN 'Class' ELSE type END, NULL, CASE WHEN id LIKE 'nation:%' AND label <> 'NATION_1' THEN 'Q' || substr(id, 8) END FROM nodes
+UNION ALL SELECT 'stage', name, status, NULL, NULL FROM (VALUES ('input', 'done'), ('rewrite 1', 'rolled back'), ('normalize', 'done'), ('link relations', 'done'), ('link entities', 'done'),
+  ('repair', 'done'), ('analyze', 'done'), ('accumulate', 'off')) AS stages(name, status)
+UNION ALL SELECT 'statistic', 'direct', count(*)::VARCHAR, NULL, NULL FROM final""")
+def finalize_run(spark, d):
+    """The whole graph goes through the run: a rewrite that loses the orders is rolled back, relations and nations are linked
+    (one nation's only hit is a page of several meanings), rule fixes are applied, the result is analyzed."""
+    catalog = "id string, label map<string,string>, description map<string,string>, aliases map<string,array<string>>, super array<string>, inverse array<string>, transitive boolean"
+    properties = spark.createDataFrame([("P1", {"en": "ordered by"}, {"en": "who placed an order"}, None, [], [], False)], catalog)
+    mapping = retrieve.core_mapping(properties, spark.createDataFrame([("P1", "produces", True)], "id string, relation string, flipped boolean"))
+    about = F.when(F.col("n_name") == "NATION_1", "disambiguation page").otherwise("country")
+    hits = _table(spark, d, "nation").select(
+        F.col("n_name").alias("label"), F.lit(0).alias("pos"), F.concat(F.lit("Q"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), about.alias("description"),
+    )
+    loses = lambda g: Graph(g.nodes.where("id NOT LIKE 'order:%'"), g.edges)
+    options = Options(rewrites=(loses,), properties=properties, mapping=mapping, hits=hits)
+    out = finalize(testgraph.load(spark, d, stored=False), f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}", options, strict=True)
+    none = F.lit(None).cast("string")
+    edges = out.graph.direct().select(F.lit("edge").alias("what"), F.col("source").alias("id"), F.col("label").alias("is"), F.col("target").alias("other"), F.col("wikidata.id").alias("linked"))
+    return (
+        edges.union(out.graph.nodes.select(F.lit("node"), "id", "type", none, "wikidata_id")).union(out.log.select(F.lit("stage"), "name", "status", none, none))
+        .union(out.stats.select(F.lit("statistic"), F.lit("direct"), F.col("direct").cast("string"), none, none))
+    )
+
+
 def _triples(spark, d):
     g = _normal(spark, d)
     return g, cut(patterns.graph_triples(g.nodes, g.edges))

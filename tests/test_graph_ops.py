@@ -376,3 +376,9 @@ def test_turtle_and_rdfxml_round_trips(spark, tmp_path):
     assert [(t[1].split("/")[-1], t[3], t[4]) for t in rdfxml_triples(xml, "f")] == [("22-rdf-syntax-ns#type", False, None), ("p", False, None), ("22-rdf-syntax-ns#type", False, None), ("q", True, "de")]
     with pytest.raises(ValueError, match="f"):
         list(rdfxml_triples("<a>", "f"))
+
+
+def test_mean_distance_has_no_last_hop(spark):
+    names = ["a0", *(f"n{k:03d}" for k in range(65)), "a1"]
+    chain = from_rows(spark, [(x, x, "Instance") for x in names], [(str(k), a, b, "uses") for k, (a, b) in enumerate(zip(names, names[1:], strict=False))])
+    assert score.average_path(chain, sample=2).head()[0] == 66
