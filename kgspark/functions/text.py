@@ -54,9 +54,9 @@ def by_kind(label, kind) -> Column:
     letter is upper-case, a Literal loses its quotes. A word starts at a Latin letter, digit or underscore that none of
     these precedes."""
     label, kind = F.regexp_replace(strip(label), r"(?U)\s+", " "), _c(kind)
-    first = F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 1_000_000))
+    first = F.concat(F.upper(F.substring(label, 1, 1)), F.substr(label, F.lit(2)))
     pieces = F.split(label, r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])")
-    words = F.array_join(F.transform(pieces, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))).otherwise(w)), "")
+    words = F.array_join(F.transform(pieces, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))).otherwise(w)), "")
     return F.when(kind == "Class", words).when(kind == "Instance", first).when(kind == "Literal", F.regexp_replace(label, "^[\"']|[\"']$", "")).otherwise(label)
 
 

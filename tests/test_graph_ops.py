@@ -249,7 +249,7 @@ def test_repair(spark):
 
 
 def test_display_form_of_labels(spark):
-    rows = [("  sub-class   of\tall", "Class", "Sub-Class Of All"), ("o'neil (2nd) x_y", "Class", "O'Neil (2nd) X_y"), ("élan vital", "Class", "éLan Vital"), (" new   york city", "Instance", "New york city"), ("'12'", "Literal", "12"), ("a  b", "Other", "a b")]
+    rows = [("  sub-class   of\tall", "Class", "Sub-Class Of All"), ("o'neil (2nd) x_y", "Class", "O'Neil (2nd) X_y"), ("élan vital", "Class", "éLan Vital"), (" new   york city", "Instance", "New york city"), ("'12'", "Literal", "12"), ("a  b", "Other", "a b"), ("é" * 1_000_005, "Class", "é" * 1_000_005), ("e" * 1_000_005, "Instance", "E" + "e" * 1_000_004), ("", "Class", "")]
     df = spark.createDataFrame([(str(k), *r) for k, r in enumerate(rows)], "id string, label string, type string, want string")
     got = {r["id"]: r["label"] for r in dedup.normalized_labels(df).collect()}
     assert got == {str(k): r[2] for k, r in enumerate(rows)}
