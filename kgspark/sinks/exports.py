@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from kgspark.functions import vocabulary as V
 from kgspark.functions.text import cypher_escape, iri_local, language, local_name, mermaid_escape, turtle_escape, xml_escape
 from kgspark.operators.normalize import normalize
-from kgspark.plans.graph import Graph
+from kgspark.plans.graph import Graph, cut
 from kgspark.sources.graphs import EXACT, OWL, RDF, RDFS
 
 BASE = "https://example.org/graph#"
@@ -115,10 +115,14 @@ def unique_locals(nodes: DataFrame) -> DataFrame:
 
 
 def to_triples(g: Graph, include_inferred: bool = False) -> DataFrame:
-    """A graph as triples s, p, o, literal, lang: nodes, properties, edges by resolved relation, and the axioms they use."""
+    """A graph as triples s, p, o, literal, lang: nodes, properties, edges by resolved relation, and the axioms they use.
+
+    Named nodes and normalized edges are stored, as several parts read them. Repeats among edges leave by their ends' ids,
+    before the ends have names; no edge says what a node or an axiom says, so those are made distinct apart.
+    """
     local = unique_locals(g.nodes)
     iri = F.concat(F.lit(BASE), F.col("local"))
-    n = g.nodes.join(local, "id").withColumn("iri", iri)
+    n = cut(g.nodes.join(local, "id").select("id", "label", "type", "description", "wikidata_id", "properties", iri.alias("iri")))
     row = lambda df, s, p, o, literal=False, lang=None: df.select(
         s.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.alias("o"), F.lit(literal).alias("literal"), (F.lit(None).cast("string") if lang is None else lang).alias("lang")
     )
@@ -133,17 +137,22 @@ def to_triples(g: Graph, include_inferred: bool = False) -> DataFrame:
     built = {V.TYPE: RDF + "type", V.SUBCLASS: RDFS + "subClassOf", V.EQUIVALENT: OWL + "equivalentClass", V.SAME_AS: OWL + "sameAs", V.DISJOINT: OWL + "disjointWith"}
     m = normalize(g)
     e = m.direct() if not include_inferred else m.edges
-    ids = n.select("id", "iri")
-    e = e.join(ids.select(F.col("id").alias("source"), F.col("iri").alias("si")), "source").join(ids.select(F.col("id").alias("target"), F.col("iri").alias("ti")), "target")
+    ends = g.nodes.select("id").distinct()
+    e = e.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi")
+    e = cut(e.select("source", "target", "relation", "label", "wikidata", "super_relation", "super_inverse"))
     known = F.create_map(*(F.lit(x) for kv in built.items() for x in kv))
     own = F.concat(F.lit(BASE), iri_local(F.coalesce("label", F.lit(""))))
-    out = out.union(row(e, F.col("si"), F.coalesce(known[F.coalesce(F.col("relation"), F.col("label"))], own), F.col("ti")))
-    used = e.select(F.coalesce("relation", "label").alias("relation"), "label", own.alias("pi")).distinct().where(~F.col("relation").isin(*built))
+    said = e.select("source", F.coalesce(known[F.coalesce(F.col("relation"), F.col("label"))], own).alias("p"), "target").distinct()
+    ids = n.select("id", "iri").distinct()
+    said = said.join(ids.select(F.col("id").alias("source"), F.col("iri").alias("si")), "source").join(ids.select(F.col("id").alias("target"), F.col("iri").alias("ti")), "target")
+    used = cut(e.select(F.coalesce("relation", "label").alias("relation"), "label").distinct().where(~F.col("relation").isin(*built)).withColumn("pi", own))
     out = out.union(row(used.select("pi").distinct(), F.col("pi"), RDF + "type", F.lit(OWL + "ObjectProperty")))
     out = out.union(row(used.select("pi", "label").distinct(), F.col("pi"), RDFS + "label", F.col("label"), True, language("label")))
     out = out.union(row(used.where(F.col("relation").isin(*V.TRANSITIVE)), F.col("pi"), RDF + "type", F.lit(OWL + "TransitiveProperty")))
     out = out.union(row(used.where(F.col("relation").isin(*V.SYMMETRIC)), F.col("pi"), RDF + "type", F.lit(OWL + "SymmetricProperty")))
-    return out.union(_linked(e.where(F.col("relation") == V.CUSTOM), own, row)).distinct()
+    kinds = cut(e.where(F.col("relation") == V.CUSTOM).select("label", "wikidata.id", "wikidata.transitive", "super_relation", "super_inverse").distinct())
+    kinds = kinds.withColumn("wikidata", F.struct("id", "transitive"))
+    return out.union(_linked(kinds, own, row)).distinct().union(row(said, F.col("si"), F.col("p"), F.col("ti")))
 
 
 def _linked(e: DataFrame, own: Column, row) -> DataFrame:
