@@ -382,3 +382,14 @@ def test_mean_distance_has_no_last_hop(spark):
     names = ["a0", *(f"n{k:03d}" for k in range(65)), "a1"]
     chain = from_rows(spark, [(x, x, "Instance") for x in names], [(str(k), a, b, "uses") for k, (a, b) in enumerate(zip(names, names[1:], strict=False))])
     assert score.average_path(chain, sample=2).head()[0] == 66
+
+
+def test_chains_leave_whole_from_strong_components(spark, monkeypatch):
+    rounds = []
+    real = ga._trimmed
+    monkeypatch.setattr(ga, "_trimmed", lambda e, n: rounds.append(n) or real(e, n))
+    chain = [(f"n{k:03}", f"n{k + 1:03}") for k in range(200)]
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("x", "y"), ("y", "x"), ("x", "y")]
+    df = spark.createDataFrame(chain + ring, "source string, target string")
+    assert {r["id"]: r["component"] for r in ga.strong_components(df).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "x": "x", "y": "x"}
+    assert sum(rounds) < 60  # 100 if a layer a round
