@@ -393,3 +393,20 @@ def test_chains_leave_whole_from_strong_components(spark, monkeypatch):
     df = spark.createDataFrame(chain + ring, "source string, target string")
     assert {r["id"]: r["component"] for r in ga.strong_components(df).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "x": "x", "y": "x"}
     assert sum(rounds) < 60  # 100 if a layer a round
+
+
+def test_prefixes_that_documents_share_are_read_once():
+    from kgspark.sources import rdf
+
+    rdf._prefixes.cache_clear()
+    head = "@prefix : <http://a.org/> .\n@prefix x: <http://x.org/#> .\n"
+    for k in range(50):
+        assert list(rdf.turtle_triples(f"{head}:s{k} x:p 'o' .", "d")) == [(f"http://a.org/s{k}", "http://x.org/#p", "o", True, None)]
+    assert rdf._prefixes.cache_info().misses == 1
+    # Other forms of a head are read token by token, a later prefix counts from where it stands.
+    for text in (
+        "@prefix : <http://b.org/> . # one\n:s x:p 'o' .", "@base <http://b.org/> .\n@prefix : <> .\n:s x:p 'o' .", "PREFIX : <http://b.org/>\n:s x:p 'o' .",
+        "@prefix : <http://a.org/> .\n@prefix : <http://b.org/> .\n:s x:p 'o' .", "@prefix : <http://b.org/> .\n:s x:p 'o' .\n@prefix : <http://c.org/> .\n",
+    ):
+        assert list(rdf.turtle_triples(text, "d")) == [("http://b.org/s", "x:p", "o", True, None)]
+    assert list(rdf.turtle_triples(":s :p '@prefix '\n .", "d")) == [(rdf.BASE + "s", rdf.BASE + "p", "@prefix ", True, None)]
