@@ -67,6 +67,11 @@ def _ends(g: Graph, edges: DataFrame) -> DataFrame:
     )
 
 
+def _said(section: Column, key: str, part: int, line: Column) -> Column:
+    """A line as a struct: all lines of an edge are made at once, so its ends are looked up once."""
+    return F.struct(section.cast("int").alias("section"), F.col(key).alias("key"), F.lit(part).alias("part"), line.alias("line"))
+
+
 def markdown(g: Graph) -> DataFrame:
     """Counts, a section a node by kind, and the relation tables."""
     kinds = ("Class", "Instance", "Literal")
@@ -79,13 +84,14 @@ def markdown(g: Graph) -> DataFrame:
     out = out.union(at(0, F.concat(F.lit("### "), F.col("label")))).union(at(1, F.col("description")).where("coalesce(line, '') <> ''"))
     props = g.nodes.select(section.alias("section"), F.col("id").alias("key"), F.explode("properties").alias("p"))
     out = out.union(props.select("section", "key", F.lit(2).alias("part"), F.concat(F.lit("- `"), F.col("p.key"), F.lit("`: "), F.col("p.value")).alias("line")))
-    both = _ends(g, g.direct())
     rel = F.when(F.coalesce("rel", F.lit("")) == "", F.lit("related")).otherwise(F.col("rel"))
-    of = lambda c: F.array_position(F.array(*map(F.lit, kinds)), F.col(c)).cast("int").alias("section")
-    out = out.union(both.select(of("s_type"), F.col("source").alias("key"), F.lit(3).alias("part"), F.concat(F.lit("- → `"), rel, F.lit("` → **"), F.col("t_label"), F.lit("**")).alias("line")))
-    out = out.union(both.select(of("t_type"), F.col("target").alias("key"), F.lit(4).alias("part"), F.concat(F.lit("- ← `"), rel, F.lit("` ← **"), F.col("s_label"), F.lit("**")).alias("line")))
-    table = lambda df, s: _line(df, s, "id", 0, F.concat(F.lit("| "), F.col("s_label"), F.lit(" | `"), F.coalesce(F.nullif("rel", F.lit("")), F.lit("—")), F.lit("` | "), F.col("t_label"), F.lit(" |")))
-    return out.union(table(both, 4)).union(table(_ends(g, g.edges.where("inferred")), 5))
+    of = lambda c: F.array_position(F.array(*map(F.lit, kinds)), F.col(c)).cast("int")
+    table = F.concat(F.lit("| "), F.col("s_label"), F.lit(" | `"), F.coalesce(F.nullif("rel", F.lit("")), F.lit("—")), F.lit("` | "), F.col("t_label"), F.lit(" |"))
+    forth = F.concat(F.lit("- → `"), rel, F.lit("` → **"), F.col("t_label"), F.lit("**"))
+    back = F.concat(F.lit("- ← `"), rel, F.lit("` ← **"), F.col("s_label"), F.lit("**"))
+    direct = F.array(_said(of("s_type"), "source", 3, forth), _said(of("t_type"), "target", 4, back), _said(F.lit(4), "id", 0, table))
+    said = F.when(F.col("inferred"), F.array(_said(F.lit(5), "id", 0, table))).otherwise(direct)
+    return out.union(_ends(g, g.edges).select(F.explode(said).alias("r")).select("r.*"))
 
 
 def context_text(g: Graph, anchors: DataFrame | None = None) -> DataFrame:
@@ -98,7 +104,8 @@ def context_text(g: Graph, anchors: DataFrame | None = None) -> DataFrame:
     both = _ends(g, g.direct())
     rel = F.when(F.coalesce("rel", F.lit("")) == "", F.lit("related")).otherwise(F.col("rel"))
     said = lambda arrow, label, kind: F.concat(F.lit(f"  {arrow} ["), rel, F.lit(f"] {arrow} "), F.col(label), F.lit(" ["), F.col(kind), F.lit("]"))
-    return out.union(_line(both, 0, "source", 3, said("→", "t_label", "t_type"))).union(_line(both, 0, "target", 4, said("←", "s_label", "s_type")))
+    lines = F.array(_said(F.lit(0), "source", 3, said("→", "t_label", "t_type")), _said(F.lit(0), "target", 4, said("←", "s_label", "s_type")))
+    return out.union(both.select(F.explode(lines).alias("r")).select("r.*"))
 
 
 def unique_locals(nodes: DataFrame) -> DataFrame:

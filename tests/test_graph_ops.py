@@ -410,3 +410,16 @@ def test_prefixes_that_documents_share_are_read_once():
     ):
         assert list(rdf.turtle_triples(text, "d")) == [("http://b.org/s", "x:p", "o", True, None)]
     assert list(rdf.turtle_triples(":s :p '@prefix '\n .", "d")) == [(rdf.BASE + "s", rdf.BASE + "p", "@prefix ", True, None)]
+
+
+def test_exports_look_up_the_ends_of_an_edge_once(spark):
+    g = from_rows(spark, [("a", "A", "Instance"), ("b", "B", "Class")], [("1", "a", "b", "is"), ("2", "b", "a", ""), ("3", "a", "b", "x")])
+    g = type(g)(g.nodes, g.edges.withColumn("inferred", F.when(F.col("id") == "3", True)))
+    lines = exports.markdown(g)
+    got = {(r["section"], r["key"], r["part"], r["line"]) for r in lines.where("section > 0 and part <> 0 or section > 3").collect()}
+    assert got == {
+        (2, "a", 3, "- → `is` → **B**"), (1, "b", 4, "- ← `is` ← **A**"), (1, "b", 3, "- → `related` → **A**"), (2, "a", 4, "- ← `related` ← **B**"),
+        (4, "1", 0, "| A | `is` | B |"), (4, "2", 0, "| B | `—` | A |"), (5, "3", 0, "| A | `x` | B |"),
+    }
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, (")
+    assert joins(lines) == joins(exports.context_text(g)) == 2
