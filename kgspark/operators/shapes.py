@@ -51,21 +51,37 @@ def _above(pairs: DataFrame) -> DataFrame:
         seen = cut(seen.union(new))
 
 
-def inferred(triples: DataFrame) -> DataFrame:
-    """The triples and what RDFS adds: super-properties, types by domain and range, superclasses."""
+def inferred(triples: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The triples and what RDFS adds: super-properties, types by domain and range, superclasses.
+
+    With ``wanted`` (p), only triples of those predicates, whose number is small: others leave before anything moves, but
+    for those that wanted ones follow from.
+    """
     t = full(triples)
     pairs = lambda p: t.where(F.col("p") == p).where("not literal").select(F.col("s").alias("a"), F.col("o").alias("b"))
     classes, properties = _above(pairs(SUBCLASS)), _above(pairs(SUBPROPERTY))
-    up = t.join(properties.withColumnRenamed("a", "p"), "p").select("s", F.col("b").alias("p"), "o", "literal", "datatype", "lang")
-    every = cut(t.union(up.select(*_KEY)).distinct())
+    if wanted is not None:
+        typing = pairs(DOMAIN).union(pairs(RANGE)).select(F.col("a").alias("p"))
+        asked = cut(wanted.select("p").union(typing).union(t.sparkSession.createDataFrame([(TYPE,)], "p string")).distinct())
+        under = properties.join(asked.withColumnRenamed("p", "b"), "b", "left_semi").select(F.col("a").alias("p"))
+        axioms = t.where(F.col("p").isin(DOMAIN, RANGE))
+        t = t.join(cut(asked.union(under).distinct()), "p", "left_semi").select(*_KEY)
+    else:
+        axioms = t
+    every = t
+    if not properties.isEmpty():
+        up = t.join(properties.withColumnRenamed("a", "p"), "p").select("s", F.col("b").alias("p"), "o", "literal", "datatype", "lang")
+        every = cut(t.union(up.select(*_KEY)).distinct())
+    said = lambda p: axioms.where(F.col("p") == p).where("not literal").select(F.col("s").alias("p"), F.col("o").alias("b"))
     typed = lambda df, end: df.select(F.col(end).alias("s"), F.lit(TYPE).alias("p"), F.col("b").alias("o"))
-    domain = typed(every.join(pairs(DOMAIN).withColumnRenamed("a", "p"), "p"), "s")
-    range_ = typed(every.where("not literal").join(pairs(RANGE).withColumnRenamed("a", "p"), "p"), "o")
+    domain = typed(every.join(said(DOMAIN), "p"), "s")
+    range_ = typed(every.where("not literal").join(said(RANGE), "p"), "o")
     types = every.where(F.col("p") == TYPE).select("s", "p", "o").union(domain).union(range_).distinct()
     above = types.join(classes.withColumnRenamed("a", "o"), "o").select("s", "p", F.col("b").alias("o"))
     sub = classes.select(F.col("a").alias("s"), F.lit(SUBCLASS), F.col("b").alias("o")).union(properties.select("a", F.lit(SUBPROPERTY), "b"))
     made = full(types.union(above).union(sub).toDF("s", "p", "o"))
-    return every.union(made.select(*_KEY)).distinct()
+    out = every.union(made.select(*_KEY)).distinct()
+    return out if wanted is None else out.join(F.broadcast(asked), "p", "left_semi").select(*_KEY)
 
 
 def _scope(t: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -73,15 +89,18 @@ def _scope(t: DataFrame, shapes: DataFrame) -> DataFrame:
     member = t.where(F.col("p") == TYPE).select(F.lit("class").alias("target"), F.col("o").alias("of"), F.col("s").alias("focus"))
     subject = t.select(F.lit("subjectsOf"), "p", "s")
     object_ = t.where("not literal").select(F.lit("objectsOf"), "p", "o")
-    by_data = member.union(subject).union(object_).distinct()
+    # A row a target; what no shape names leaves first.
+    names = cut(shapes.select("target", "of").distinct())
+    by_data = member.union(subject).union(object_).join(F.broadcast(names), ["target", "of"], "left_semi").distinct()
     named = shapes.where("target = 'node'").select("target", "of", F.col("of").alias("focus")).distinct()
     return shapes.join(by_data.union(named), ["target", "of"])
 
 
 def results(triples: DataFrame, shapes: DataFrame, inference: bool = True) -> DataFrame:
     """target, of, kind, path, focus, value (null where a whole focus node fails) of all that does not hold."""
-    t = cut(inferred(triples) if inference else full(triples))
-    s = shapes.select("target", "of", "kind", "path", F.col("value").alias("want"))
+    s = cut(shapes.select("target", "of", "kind", "path", F.col("value").alias("want")))
+    wanted = s.select(F.col("path").alias("p")).union(s.where("target in ('subjectsOf', 'objectsOf')").select("of")).distinct()
+    t = cut(inferred(triples, wanted) if inference else full(triples))
     unknown = s.where(~F.col("kind").isin(*COMPONENTS)).select("kind").head()
     if unknown:
         raise ValueError(f"constraint {unknown['kind']!r}")
@@ -89,7 +108,8 @@ def results(triples: DataFrame, shapes: DataFrame, inference: bool = True) -> Da
     values = t.select(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), "literal", "datatype", "lang")
     columns = ["target", "of", "kind", "path", "focus", "value"]
     number = F.col("want").try_cast("double")
-    n = values.groupBy("focus", "path").agg(F.count("*").alias("n"))
+    numbered = F.broadcast(s.where(F.col("kind").isin("minCount", "maxCount")).select("path").distinct())
+    n = values.join(numbered, "path", "left_semi").groupBy("focus", "path").agg(F.count("*").alias("n"))
     counted = scope.where(F.col("kind").isin("minCount", "maxCount")).join(n, ["focus", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     off = ((F.col("kind") == "minCount") & (F.col("n") < number)) | ((F.col("kind") == "maxCount") & (F.col("n") > number))
     none = F.lit(None).cast("string").alias("value")
